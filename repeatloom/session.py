@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ def get_session(app: str = "repeatloom", cpus: int | None = None, **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cpus or os.cpu_count() or 8))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -47,6 +49,20 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        package = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{at}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+
+
 class Scratch:
     """Written tables of one operator's run in the shared folder.
 
