@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm.components import linked_groups
+from repeatloom.llm.lines import document_statistics, fit_lines, label_lines
+from repeatloom.llm.mixing import Target, mix
+from repeatloom.llm.packing import pack_documents
 from repeatloom.llm.heavy import WHITE_SPACE, frequent_share, most_frequent, normalised
 from repeatloom.llm.survivors import best_fields, best_record, family_number
+from repeatloom.llm.tokens import count_tokens
 from repeatloom.llm.topn import top_n_per_group
 from repeatloom.session import table
 
 PROBES_PER_FAMILY = 5
 FREQUENT_SHARE = 0.002
 MOST_FREQUENT = 100
+CONTAINER_TOKENS = 2048
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +61,54 @@ def p5_best_record(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.col("group").alias("family_id"), F.col("record").alias("record_id"), F.col("n_usable").cast("bigint").alias("n_usable"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_top_sequences, p4_found, p5_found, p5_best_record)}
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = count_tokens(table(spark, sf, "documents"), ["doc_id"], "text")
+    return pack_documents(sizes, "doc_id", CONTAINER_TOKENS)
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    # mix_targets and common_words are fixed tables
+    targets = {r["source"]: Target(r["target_share"], r["max_repeats"]) for r in table(spark, sf, "mix_targets").collect()}
+    languages = sorted(r[0] for r in table(spark, sf, "common_words").select("lang").distinct().collect())
+    band = F.when(F.col("page_no") == 1, "front").when(F.col("page_no") <= 4, "inner").when(F.col("page_no") > 4, "back")
+    wanted = table(spark, sf, "documents").where(F.col("source").isin(list(targets))).withColumn("topic", band)
+    sizes = count_tokens(wanted, ["doc_id", "source", "lang", "topic"], "text")
+    classes = {"lang": (F.col("lang"), languages), "topic": (F.col("topic"), ["front", "inner", "back"])}
+    return mix(sizes, "doc_id", "source", classes, targets)
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    chosen, shares = _mixed(spark, sf)
+    reached = shares.select("source", "target_share", F.col("actual_share").alias("source_share"))
+    return chosen.join(F.broadcast(reached), "source")  # a row per target
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1]
+
+
+def _common_words(spark: SparkSession, sf: str) -> list[str]:
+    return sorted({r[0] for r in table(spark, sf, "common_words").select("word").where("word is not null").collect()})  # a fixed table
+
+
+def p9_labels(spark: SparkSession, sf: str) -> DataFrame:
+    documents, words = table(spark, sf, "documents"), _common_words(spark, sf)
+    return label_lines(documents, "doc_id", "text", fit_lines(documents, "text", words), words).withColumnRenamed("doc", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_labels(spark, sf).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    s = document_statistics(table(spark, sf, "documents"), "doc_id", "text", _common_words(spark, sf))
+    return s.select(F.col("doc").alias("doc_id"), "n_lines", "n_words", *[F.round(c, 6).alias(c) for c in s.columns[3:]])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p3_found, p3_top_sequences, p4_found, p5_found, p5_best_record, p7_pack, p8_mix, p8_shares, p9_found, p9_labels, p9_statistics)
+}
 
 _SEQUENCES = f"select upper(trim(sequence, '{WHITE_SPACE}')) as sequence from reads"
 _RECORDS = """
@@ -103,4 +155,16 @@ x as (select family_id, record_id, u1::bigint + u2::bigint + u3::bigint + u4::bi
 k as (select *, row_number() over (partition by family_id
         order by n_usable desc, trust_rank nulls last, loaded_at desc nulls last, record_id desc) as k from x)
 select family_id, record_id, n_usable from k where k = 1""",
+    "p9_statistics": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+c as (select list(distinct lower(word)) as c from common_words),
+s as (select doc_id, t, list_filter(split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f\v]')) as l,
+        regexp_extract_all(lower(t), '\p{L}+') as w from d),
+n as (select doc_id, t, l, w, len(l) as n_lines, len(w) as n_words from s)
+select doc_id, n_lines, n_words,
+    case when n_words > 0 then round(length(array_to_string(w, ''))::double / n_words, 6) end as mean_word_length,
+    case when length(t) > 0 then round(length(regexp_replace(t, '[\p{L}\p{N} \t\n\r\f\v]', '', 'g'))::double / length(t), 6) end as symbol_ratio,
+    case when n_lines > 0 then round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?;:][ \t\r\f\v]*$')))::double / n_lines, 6) end as line_stop_share,
+    case when n_words > 0 then round(len(list_filter(w, lambda x: list_contains(c, x)))::double / n_words, 6) end as common_word_share
+from n, c""",
 }
