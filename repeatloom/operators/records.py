@@ -129,7 +129,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not c:
                     fields[i] = _fields(text, form["delimiter"], form["quotes"])
             bad = np.flatnonzero(cost)
-            for some in np.array_split(bad, max(1, len(bad) // 256)):  # the trace keeps every step of its records
+            for some in np.array_split(bad, -(-len(bad) // 256)) if len(bad) else []:  # the trace keeps every step of its records
                 size = first[some + 1] - first[some]
                 own = np.repeat(first[some] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
                 _, traced = parse_costs(kind[own], np.append(0, np.cumsum(size)), form["fields"], trace=True)

@@ -3,14 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repeatloom.operators.intervals import periods_and_gaps
+from repeatloom.functions import dna
+from repeatloom.functions.names import family_name
+from repeatloom.operators import annotate, catalog, discover, intervals, locate, probe, quantify, reads
+from repeatloom.operators.order import numbered
 from repeatloom.operators.records import bad_records, parse_records, valid_arrays, valid_reads
 from repeatloom.session import table
 
+MONOMERS, K = 40, 21
+GENOME_SIZE = 1_000_000.0
+WINDOW, STEP = 100_000, 10_000
+HIT_GAP = 1000
+SAMPLE_RATE = 0.25
+TOP = 20
+#: Reads here are shorter than the default span of a repeat.
+DISCOVER = discover.DiscoverConfig(min_repeat_span=40)
+
+
+def _reads(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.clean(table(spark, sf, "reads"))
+
+
+def _frequent(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
+    """The most frequent sequences of known bases, as a catalog (family_id, sequence): ranks `first` to `last`."""
+    known = _reads(spark, sf).where(F.col("sequence").rlike("^[ACGT]+$")).groupBy("sequence").agg(F.count(F.lit(1)).alias("n"))
+    top = known.orderBy(F.desc("n"), "sequence").limit(last)
+    rows = [(i, r["sequence"]) for i, r in enumerate(top.collect(), 1) if i >= first]  # at most `last`
+    return spark.createDataFrame([(f"TXF{i:06d}", s) for i, s in rows], "family_id string, sequence string").coalesce(1)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return periods_and_gaps(table(spark, sf, "array_hits"), ("chrom", "family_id"), "start_bp", "end_bp")
+    return intervals.periods_and_gaps(table(spark, sf, "array_hits"), ("chrom", "family_id"), "start_bp", "end_bp")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,4 +54,217 @@ def p6_reads(spark: SparkSession, sf: str) -> DataFrame:
     return valid_reads(parse_records(table(spark, sf, "raw_records")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p6_arrays, p6_reads)}
+def sequence_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.sequence_stats(table(spark, sf, "reads"))
+
+
+def length_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(reads.length_summary(table(spark, sf, "reads")), "mean_length")
+
+
+def read_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.problems(table(spark, sf, "reads"))
+
+
+def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.duplicate_ids(table(spark, sf, "reads"))
+
+
+def round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.round_robin(table(spark, sf, "reads"))
+
+
+def within_budget(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "reads")
+    total = r.agg(F.sum(F.length("sequence"))).head()[0] or 0
+    return reads.within_budget(r, reads.discovery_budget(total, genome_size=total, coverage=0.4))
+
+
+def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.sample_reads(table(spark, sf, "reads"), SAMPLE_RATE).select("file_idx", "rec_idx", "id")
+
+
+def reverse_complements(spark: SparkSession, sf: str) -> DataFrame:
+    return _reads(spark, sf).select("file_idx", "rec_idx", dna.reverse_complement("sequence").alias("reverse_complement"), dna.orient("sequence").alias("oriented"))
+
+
+def base_composition(spark: SparkSession, sf: str) -> DataFrame:
+    r = _reads(spark, sf).where("sequence is not null")
+    out = r.select("file_idx", "rec_idx", dna.gc_content("sequence").alias("gc"), dna.wallace_tm("sequence").alias("tm"), dna.top_base_share("sequence").alias("top_share"), dna.low_complexity("sequence").alias("low"))
+    return _rounded(out, "gc", "top_share")
+
+
+def header_fields(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("description")
+    return table(spark, sf, "reads").select(
+        "file_idx", "rec_idx", dna.record_id(d).alias("record_id"), dna.strand(F.coalesce(d, F.lit(""))).alias("strand"),
+        dna.header_field(d, "source_start").try_cast("bigint").alias("source_start"), dna.header_field(d, "error_rate").try_cast("double").alias("error_rate"),
+    )
+
+
+def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return quantify.kmer_counts(_reads(spark, sf), "sequence", 8).select(quantify.kmer_text("kmer", 8).alias("kmer"), "n")
+
+
+def kmer_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    counts = quantify.kmer_counts(_reads(spark, sf), "sequence", K)
+    return counts.groupBy(F.col("n").alias("multiplicity")).agg(F.count(F.lit(1)).alias("kmers"))
+
+
+def spacing_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.spacing_peaks(_reads(spark, sf), DISCOVER)
+
+
+def short_periods(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(reads.short_periods(_reads(spark, sf)), "identity")
+
+
+def discover_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.with_candidate_ids(discover.candidate_reads(table(spark, sf, "reads"), DISCOVER))
+
+
+def discover_families(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.families(discover.candidate_reads(table(spark, sf, "reads"), DISCOVER), DISCOVER)
+
+
+def discover_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.family_similarity(_frequent(spark, sf, 1, 10 * MONOMERS).withColumnRenamed("sequence", "monomer_sequence"))
+
+
+def copy_number(spark: SparkSession, sf: str) -> DataFrame:
+    out = quantify.copy_number(_reads(spark, sf), _frequent(spark, sf, 1, MONOMERS), K, genome_size=GENOME_SIZE)
+    return _rounded(out, "median_kmer_depth", "haploid_depth", "estimated_copy_number", "estimated_bp")
+
+
+def locate_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    contigs = _reads(spark, sf).select(F.concat("file_idx", F.lit(":"), "rec_idx").alias("chrom"), "sequence")
+    return locate.locate_arrays(contigs, _frequent(spark, sf, 1, MONOMERS), K)
+
+
+def merged_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.merge_intervals(table(spark, sf, "array_hits"), ("chrom", "family_id"), "start_bp", "end_bp", HIT_GAP)
+
+
+def window_density(spark: SparkSession, sf: str) -> DataFrame:
+    hits = table(spark, sf, "array_hits")
+    lengths = hits.where("start_bp >= 0 and end_bp > start_bp").groupBy("chrom").agg(F.max("end_bp").alias("length"))
+    return _rounded(intervals.window_density(hits, lengths, "chrom", "start_bp", "end_bp", WINDOW, STEP), "density")
+
+
+def assembly_vs_reads(spark: SparkSession, sf: str) -> DataFrame:
+    arrays = table(spark, sf, "array_hits").where("start_bp >= 0 and end_bp > start_bp")
+    bp = table(spark, sf, "families").where("support_span_bp >= 1").select(family_name("family_id").alias("family_id"), F.col("support_span_bp").alias("estimated_bp"))
+    return _rounded(locate.assembly_vs_reads(arrays, bp), "assembly_read_ratio")
+
+
+def probe_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["estimated_copy_number", "specificity_score", "arrayiness_score", "gc_content"]
+    p = table(spark, sf, "probes").dropna(subset=["family_id", "probe_id", *columns])
+    score = probe.probe_score(*(F.col(c) for c in columns))
+    once = p.select("probe_id", "family_id", F.round(score, 6).alias("score")).groupBy("probe_id", "family_id").agg(F.max("score").alias("score"))
+    ranked = numbered(once.withColumn("down", -F.col("score")), ["down", "family_id", "probe_id"])
+    return ranked.select("probe_id", "family_id", "score", "position")
+
+
+def fish_signals(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "probes").groupBy("probe_id", "family_id", "predicted_regions").agg(F.max("probe_score").alias("predicted_signal"))
+    regions = probe.parse_regions(p).distinct()
+    return regions.join(p.groupBy("probe_id").agg(F.max("predicted_signal").alias("predicted_signal")), "probe_id")
+
+
+def probes_on_target(spark: SparkSession, sf: str) -> DataFrame:
+    regions = probe.parse_regions(table(spark, sf, "probes")).where("family_id is not null").distinct()
+    return intervals.overlap_semi_join(regions, table(spark, sf, "array_hits"), ["chrom", "family_id"], "start_bp", "end_bp")
+
+
+def best_probe_scores(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("probe_score")
+    p = table(spark, sf, "probes").where(F.col("family_id").isNotNull() & s.isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf")))
+    return p.groupBy("family_id").agg(F.max("probe_score").alias("max_probe_score"), F.max_by("estimated_copy_number", F.struct("loaded_at", "probe_id")).alias("last_copy_number"))
+
+
+def pair_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.classify_pairs(table(spark, sf, "family_similarity"))
+
+
+def redundancy_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.redundancy_warnings(table(spark, sf, "family_similarity"))
+
+
+def collapse_families(spark: SparkSession, sf: str) -> DataFrame:
+    f = table(spark, sf, "families").where("record_id is not null").withColumn("family_id", family_name("family_id")).where("family_id is not null")
+    # the last record of a family, in one aggregate that combines before the shuffle
+    columns = ["support_read_count", "support_span_bp", "mean_identity", "monomer_length_bp"]
+    last = f.groupBy("family_id").agg(F.max_by(F.struct(*columns), "record_id").alias("r")).select("family_id", "r.*")
+    return catalog.collapse(last, table(spark, sf, "family_similarity"))
+
+
+def catalog_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.summarize(table(spark, sf, "families"), table(spark, sf, "family_similarity"))
+
+
+def label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    f = table(spark, sf, "families").withColumn("status", catalog.status_label())
+    return catalog.label_counts(f, ["confidence", "status", "warning"])
+
+
+def warning_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.warning_counts({t: table(spark, sf, t) for t in ("families", "array_hits", "probes")})
+
+
+def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.length_histogram(table(spark, sf, "families"), "monomer_length_bp", "support_span_bp", 25)
+
+
+def top_families(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.top_by_span(table(spark, sf, "families"), TOP)
+
+
+def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(catalog.label_pairs(table(spark, sf, "family_similarity")), "score")
+
+
+def flag_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(catalog.flag_accuracy(table(spark, sf, "family_similarity")), "recall", "precision", "false_positive_rate")
+
+
+def nearest_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.nearest_lengths(table(spark, sf, "families"), table(spark, sf, "family_similarity").where("redundant_candidate"), "monomer_length_bp", "length_a_bp")
+
+
+def run_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.run_differences(table(spark, sf, "families").groupBy(F.col("run_id")).agg(F.max("low_complexity_flag").alias("any_low"), F.max("warning").alias("top_warning"), F.count(F.lit(1)).alias("records")), "run_id", ["any_low", "top_warning", "records"])
+
+
+def run_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(catalog.run_aggregate(table(spark, sf, "families"), table(spark, sf, "runs")), "mean_identity")
+
+
+def failed_checks(spark: SparkSession, sf: str) -> DataFrame:
+    checks = {
+        "half_open": F.col("end_bp") > F.col("start_bp"), "not_negative": F.col("start_bp") >= 0, "score_range": F.col("score").between(0, 1000),
+        "strand": F.col("strand").isin("+", "-", "."), "confidence": F.col("confidence") != "", "family": F.col("family_id") != "",
+    }
+    return catalog.failed_checks(table(spark, sf, "array_hits"), checks)
+
+
+def known_matches(spark: SparkSession, sf: str) -> DataFrame:
+    known = _frequent(spark, sf, MONOMERS + 1, 2 * MONOMERS).select(F.col("family_id").alias("known_id"), F.col("sequence").alias("known_sequence"))
+    return _rounded(annotate.known_matches(_frequent(spark, sf, 1, MONOMERS), known), "similarity_score", "shared_kmer_fraction")
+
+
+def annotate_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    known = _frequent(spark, sf, MONOMERS + 1, 2 * MONOMERS).select(F.col("family_id").alias("known_id"), F.col("sequence").alias("known_sequence"))
+    return annotate.annotate_repeats(_frequent(spark, sf, 1, MONOMERS), known)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p6_found, p6_arrays, p6_reads, sequence_stats, length_summary, read_problems, duplicate_ids, round_robin, within_budget, hash_sample,
+        reverse_complements, base_composition, header_fields, kmer_counts, kmer_spectrum, spacing_peaks, short_periods, discover_candidates, discover_families,
+        discover_similarity, copy_number, locate_arrays, merged_hits, window_density, assembly_vs_reads, probe_ranking, fish_signals, probes_on_target,
+        best_probe_scores, pair_classes, redundancy_warnings, collapse_families, catalog_summary, label_counts, warning_counts, length_histogram, top_families,
+        label_pairs, flag_accuracy, nearest_lengths, run_differences, run_aggregate, failed_checks, known_matches, annotate_repeats,
+    )
+}

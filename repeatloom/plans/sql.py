@@ -18,6 +18,22 @@ s as (select raw_id, l, case when len(l) <> 4 then 'lines' when not regexp_match
         when length(l[2]) <> length(l[4]) then 'length' end as reason from q)
 """
 
+_READS = r"r as (select file_idx, rec_idx, id, upper(trim(sequence, E' \t\r\n')) as s, quality, description from reads)"
+_TOP = "c as (select row_number() over (order by n desc, s) as i, s from (select s, count(*) as n from r where regexp_full_match(s, '[ACGT]+') group by s))"
+_FAMILY = r"""f as (select *, 'TXF' || case when length(n) < 6 then lpad(n, 6, '0') else n end as fam from
+        (select *, regexp_replace(digits, '^0+', '') as n from
+            (select *, regexp_extract(family_id, '([0-9]+)[^0-9]*$', 1) as digits from families) where digits <> ''))"""
+_RC = "translate(reverse({0}), 'ACGT', 'TGCA')"
+_MOST = "greatest(" + ", ".join(f"length({{0}}) - length(replace({{0}}, '{b}', ''))" for b in "ACGT") + ")"
+_TOO_PLAIN = f"({_MOST.format('{0}')} / length({{0}})::double >= 0.8 or len(list_distinct(list_transform(range(0, length({{0}}) - 1, 2), lambda i: substr({{0}}, i + 1, 2)))) <= 1)"
+_RATIO = "round_even(length_ratio, 0)"
+_ALIKE = "(local_identity >= 0.75 and local_overlap_fraction_shorter >= 0.75 and (kmer_jaccard >= 0.25 or shared_kmer_fraction >= 0.5))"
+_STATUS = """case when coalesce(low_complexity_flag, false) and coalesce(regexp_matches(warning, '(^|;)possible_higher_order_or_partial:'), false) then 'low_complexity + related'
+    when coalesce(regexp_matches(warning, '(^|;)possible_higher_order_or_partial:'), false) then 'related' when coalesce(low_complexity_flag, false) then 'low_complexity' else 'clean' end"""
+_HITS = "h as (select * from array_hits where start_bp >= 0 and end_bp > start_bp)"
+_REGIONS = r"""g as (select distinct probe_id, family_id, regexp_extract(x, '^(.*):([0-9]+)-([0-9]+)$', 1) as chrom, regexp_extract(x, '^(.*):([0-9]+)-([0-9]+)$', 2)::bigint as start_bp,
+        regexp_extract(x, '^(.*):([0-9]+)-([0-9]+)$', 3)::bigint as end_bp from (select probe_id, family_id, unnest(split(predicted_regions, ';')) as x from probes where predicted_regions <> '') where regexp_matches(x, '^(.*):([0-9]+)-([0-9]+)$'))"""
+
 SQL = {
     "p2_found": """
 with v as (select distinct chrom, family_id, start_bp as s, end_bp as e from array_hits
@@ -35,4 +51,191 @@ with {_RAW} select raw_id, f[1] as chrom, f[2]::bigint as start_bp, f[3]::bigint
     "p6_reads": rf"""
 with {_RAW}, h as (select *, trim(substr(l[1], 2)) as d from s where reason is null)
 select raw_id, split(regexp_extract(d, '^\S+'), ';')[1] as id, upper(l[2]) as sequence, l[4] as quality, d as description from h""",
+    "sequence_stats": """select file_idx, count(*) as record_count, sum(coalesce(length(sequence), 0))::bigint as total_bases,
+    max(coalesce(length(sequence), 0)) as max_read_length from reads group by file_idx""",
+    "length_summary": """
+with l as (select length(sequence) as n, count(*) as c from reads where sequence is not null group by 1),
+q as (select *, sum(n * c) over (order by n desc) as run, sum(n * c) over () as total from l)
+select sum(c)::bigint as record_count, sum(n * c)::bigint as total_bases, min(n) as min_length, round(sum(n * c)::double / sum(c)::double, 6) as mean_length,
+    max(n) as max_length, max(case when run >= (total + 1) // 2 then n end) as n50 from q""",
+    "read_problems": f"""
+with {_READS}
+select r.file_idx, count_if(reads.sequence is null) as missing_sequence, count_if(coalesce(s = '', false)) as empty_sequence,
+    count_if(coalesce(regexp_matches(s, '[^ACGTN]'), false)) as invalid_base, count_if(coalesce(length(s) <> length(r.quality), false)) as length_mismatch,
+    count_if(coalesce(reads.sequence <> s, false)) as written_otherwise, count_if(coalesce(contains(s, 'N'), false)) as unknown_base
+from r join reads using (file_idx, rec_idx) group by r.file_idx""",
+    "duplicate_ids": "select id, count(*) as n_records from reads where id is not null group by id having count(*) > 1",
+    "round_robin": "select file_idx, rec_idx, row_number() over (order by rec_idx, file_idx) as position from reads",
+    "within_budget": """
+with q as (select file_idx, rec_idx, coalesce(length(sequence), 0) as bases, row_number() over (order by file_idx, rec_idx) as position,
+        sum(coalesce(length(sequence), 0)) over (order by file_idx, rec_idx)::bigint as total_bases from reads)
+select * from q where total_bases <= (select round_even(sum(length(sequence)) * 0.4::double, 0) from reads)""",
+    "hash_sample": f"select file_idx, rec_idx, id from reads where substr(md5(id), 1, 8) < '40000000'",
+    "reverse_complements": f"""with {_READS}, q as (select *, {_RC.format("s")} as c from r)
+select file_idx, rec_idx, c as reverse_complement, case when s is not null then least(s, c) end as oriented from q""",
+    "base_composition": f"""
+with {_READS}, q as (select *, length(s) as n, {_MOST.format("s")} as most, length(s) - length(translate(s, 'GC', '')) as gc,
+        length(s) - length(translate(s, 'AT', '')) as weak from r where s is not null)
+select file_idx, rec_idx, case when n > 0 then round(gc::double / n, 6) end as gc, (4.0 * gc + 2.0 * weak)::double as tm,
+    case when n > 0 then round(most::double / n, 6) else 1.0 end as top_share,
+    n <= 2 or most::double / n >= 0.8 or (n >= 4 and n % 2 = 0 and s = repeat(substr(s, 1, 2), (n // 2)::int)) as low from q""",
+    "header_fields": r"""
+select file_idx, rec_idx, split(split(trim(description), ' ')[1], ';')[1] as record_id,
+    case when regexp_extract(';' || description, ';strand=([^;]*)', 1) in ('+', '-') then regexp_extract(';' || description, ';strand=([^;]*)', 1) else '.' end as strand,
+    try_cast(regexp_extract(';' || description, ';source_start=([^;]*)', 1) as bigint) as source_start,
+    try_cast(regexp_extract(';' || description, ';error_rate=([^;]*)', 1) as double) as error_rate from reads""",
+    "kmer_counts": f"""
+with {_READS}, k as (select substr(s, i::int, 8) as k from (select s, unnest(range(1, length(s) - 6)) as i from r where length(s) >= 8))
+select least(k, {_RC.format("k")}) as kmer, count(*) as n from k where regexp_full_match(k, '[ACGT]+') group by 1""",
+    "kmer_spectrum": f"""
+with {_READS}, k as (select substr(s, i::int, 21) as k from (select s, unnest(range(1, length(s) - 19)) as i from r where length(s) >= 21)),
+c as (select least(k, {_RC.format("k")}) as kmer, count(*) as n from k where regexp_full_match(k, '[ACGT]+') group by 1)
+select n as multiplicity, count(*) as kmers from c group by n""",
+    "spacing_peaks": f"""
+with {_READS}, w as (select file_idx, rec_idx, length(s) as len, i - 1 as pos, substr(s, i::int, 11) as k
+        from (select *, unnest(range(1, length(s) - 9)) as i from r where length(s) >= 11)),
+v as (select file_idx, rec_idx, len, pos, least(k, {_RC.format("k")}) as k from w
+        where regexp_full_match(k, '[ACGT]+') and {_MOST.format("k")} < 9
+        and contains(k, 'A')::int + contains(k, 'C')::int + contains(k, 'G')::int + contains(k, 'T')::int > 2),
+o as (select *, row_number() over (partition by file_idx, rec_idx, k order by pos) as j from v),
+p as (select a.file_idx, a.rec_idx, a.len, a.k, b.pos - a.pos as d, row_number() over (partition by a.file_idx, a.rec_idx, a.k order by b.j - a.j, a.j) as seen
+        from o a join o b on a.file_idx = b.file_idx and a.rec_idx = b.rec_idx and a.k = b.k and a.j < b.j where a.j <= 101 and b.j <= 101),
+t as (select *, row_number() over (partition by file_idx, rec_idx, k order by seen) as taken from p where seen <= 2000 and d between 2 and least(2000, len // 2)),
+h as (select file_idx, rec_idx, least(least(2000, len // 2), greatest(2, (d + 2) // 5 * 5)) as period_bp, count(*) as support from t where taken <= 100 group by all),
+x as (select *, row_number() over (partition by file_idx, rec_idx order by support desc, period_bp) as peak from h where support >= 2)
+select file_idx, rec_idx, period_bp, support, peak from x where peak <= 5""",
+    "short_periods": f"""
+with {_READS}, p as (select file_idx, rec_idx, s, unnest(range(2, least(19, length(s) // 2) + 1)) as p from r where length(s) >= 4),
+c as (select file_idx, rec_idx, p, substr(s, i::int, 1) as x, substr(s, (i + p)::int, 1) as y from (select *, unnest(range(1, length(s) - p + 1)) as i from p)),
+q as (select file_idx, rec_idx, p, case when count_if(x in ('A', 'C', 'G', 'T') and y in ('A', 'C', 'G', 'T')) = 0 then 0
+        else count_if(x = y and x in ('A', 'C', 'G', 'T'))::double / count_if(x in ('A', 'C', 'G', 'T') and y in ('A', 'C', 'G', 'T')) end as v from c group by all),
+b as (select file_idx, rec_idx, p, v, row_number() over (partition by file_idx, rec_idx order by v desc, p) as k from q where v > 0)
+select r.file_idx, r.rec_idx, coalesce(p, 0) as period_bp, round(coalesce(v, 0), 6) as identity from r left join (select * from b where k = 1) b using (file_idx, rec_idx)""",
+    "copy_number": f"""
+with {_READS}, {_TOP}, m as (select format('TXF{{:06d}}', i) as family_id, s from c where i <= 40),
+k as (select family_id, substr(s, i::int, 21) as k from (select *, unnest(range(1, length(s) - 19)) as i from m where length(s) >= 21)),
+mk as (select family_id, least(k, {_RC.format("k")}) as kmer, count(*) as multiplicity from k group by all),
+d as (select kmer, min(family_id) as family_id, min(multiplicity) as multiplicity from mk group by kmer having count(*) = 1 and not {_TOO_PLAIN.format("kmer")}),
+rk as (select substr(s, i::int, 21) as k from (select s, unnest(range(1, length(s) - 19)) as i from r where length(s) >= 21)),
+n as (select least(k, {_RC.format("k")}) as kmer, count(*) as n from rk where regexp_full_match(k, '[ACGT]+') group by 1),
+x as (select family_id, count(*) as d, median(coalesce(n, 0)::double / multiplicity) as m from d left join n using (kmer) group by family_id),
+g as (select sum(length(s))::double / 1000000.0::double as depth from r),
+y as (select m.family_id, length(s) as monomer_length, coalesce(d, 0) as d, coalesce(x.m, 0.0) as md, depth from m left join x using (family_id), g)
+select family_id, monomer_length, d as diagnostic_kmer_count, round(md, 6) as median_kmer_depth, round(depth, 6) as haploid_depth,
+    round(md / depth, 6) as estimated_copy_number, round(md / depth * monomer_length, 6) as estimated_bp, case when d = 0 then 'low' else 'medium' end as confidence,
+    'haploid_depth_estimated_from_total_read_bases_and_genome_size' || case when d = 0 then ';no_diagnostic_kmers' else '' end as warning from y""",
+    "locate_arrays": f"""
+with {_READS}, {_TOP}, m as (select format('TXF{{:06d}}', i) as family_id, s from c where i <= 40),
+k as (select family_id, substr(s, i::int, 21) as k from (select *, unnest(range(1, length(s) - 19)) as i from m where length(s) >= 21)),
+mk as (select distinct family_id, least(k, {_RC.format("k")}) as kmer from k),
+mk2 as (select * from mk where not {_TOO_PLAIN.format("kmer")}),
+w as (select file_idx || ':' || rec_idx as chrom, i - 1 as pos, substr(s, i::int, 21) as k from (select *, unnest(range(1, length(s) - 19)) as i from r where length(s) >= 21)),
+h as (select chrom, family_id, pos as s, pos + 21 as e from w join mk2 on mk2.kmer = least(k, {_RC.format("k")}) where regexp_full_match(k, '[ACGT]+')),
+a as (select *, max(e) over (partition by chrom, family_id order by s rows between unbounded preceding and 1 preceding) as m from h),
+b as (select *, sum(case when m is null or s > m + 42 then 1 else 0 end) over (partition by chrom, family_id order by s rows unbounded preceding) as g from a),
+x as (select chrom, family_id, min(s) as start_bp, max(e) as end_bp, count(*) as n from b group by chrom, family_id, g),
+z as (select x.*, least(1000, (1000 * n) // greatest(1, end_bp - start_bp - 20))::int as score from x join m using (family_id) where end_bp - start_bp >= greatest(length(m.s) // 2, 42))
+select chrom, start_bp, end_bp, family_id, score, '.' as strand, case when score >= 500 then 'high' else 'medium' end as confidence, '' as warning from z""",
+    "merged_hits": f"""
+with {_HITS}, a as (select chrom, family_id, start_bp as s, end_bp as e, max(end_bp) over (partition by chrom, family_id order by start_bp, end_bp, hit_id rows between unbounded preceding and 1 preceding) as m, hit_id
+        from h where chrom is not null and family_id is not null),
+b as (select *, sum(case when m is null or s > m + 1000 then 1 else 0 end) over (partition by chrom, family_id order by s, e, hit_id rows unbounded preceding) as g from a)
+select chrom, family_id, min(s) as start_bp, max(e) as end_bp, count(*) as hit_count from b group by chrom, family_id, g""",
+    "window_density": f"""
+with {_HITS}, l as (select chrom, max(end_bp) as n from h where chrom is not null group by chrom),
+w as (select chrom, n, unnest(range(0, (case when n > 100000 then ceil((n - 100000) / 10000.0)::bigint * 10000 else 0 end) + 1, 10000)) as w from l),
+t as (select chrom, start_bp as s, end_bp as e, unnest(range(greatest(0, (floor((start_bp - 100000) / 10000.0)::bigint + 1) * 10000), (end_bp - 1) // 10000 * 10000 + 1, 10000)) as w from h where chrom is not null),
+c as (select chrom, w, sum(least(e, w + 100000) - greatest(s, w)) as c from t group by chrom, w)
+select w.chrom, w.w as start_bp, least(n, w.w + 100000) as end_bp, round(coalesce(c, 0)::double / (least(n, w.w + 100000) - w.w)::double, 6) as density from w left join c using (chrom, w)""",
+    "assembly_vs_reads": f"""
+with {_HITS}, {_FAMILY}, a as (select family_id, sum(end_bp - start_bp)::double as a from h where family_id is not null group by family_id),
+q as (select fam as family_id, sum(support_span_bp)::double as r from f where support_span_bp >= 1 group by fam),
+b as (select family_id, coalesce(r, 0) as r, coalesce(a, 0) as a from a full join q using (family_id))
+select family_id, r as read_estimated_bp, a as assembly_estimated_bp, case when r > 0 then round(a / r, 6) else 0.0 end as assembly_read_ratio,
+    case when r <= 0 and a <= 0 then 'low_confidence' when r <= 0 then 'assembly_only' when a <= 0 then 'reads_only' when a / r < 0.6::double then 'possible_collapse'
+        when a / r > 1.5::double then 'possible_overexpansion' else 'consistent' end as status,
+    case when r <= 0 then 'low' else 'medium' end as confidence,
+    case when r <= 0 and a <= 0 then 'missing_read_and_assembly_estimates' when r <= 0 then 'missing_read_estimate' when a <= 0 then 'missing_assembly_array' else '' end as warning from b""",
+    "probe_ranking": """
+with q as (select probe_id, family_id, round(least(1.0, estimated_copy_number / 10.0::double) * specificity_score * greatest(arrayiness_score, 0.1::double) * greatest(0.0, 1.0 - abs(gc_content - 0.5::double)), 6) as score
+        from probes where family_id is not null and probe_id is not null and estimated_copy_number is not null and specificity_score is not null and arrayiness_score is not null and gc_content is not null),
+o as (select probe_id, family_id, max(score) as score from q group by all)
+select *, row_number() over (order by score desc, family_id, probe_id) as position from o""",
+    "fish_signals": f"with {_REGIONS}, m as (select probe_id, max(probe_score) as predicted_signal from probes group by probe_id) select g.*, predicted_signal from g join m using (probe_id)",
+    "probes_on_target": f"""with {_REGIONS} select * from g where family_id is not null and end_bp > start_bp and exists
+    (select 1 from array_hits a where a.chrom = g.chrom and a.family_id = g.family_id and a.start_bp >= 0 and a.end_bp > a.start_bp and g.start_bp < a.end_bp and a.start_bp < g.end_bp)""",
+    "best_probe_scores": """select family_id, max(probe_score) as max_probe_score, arg_max_null(estimated_copy_number, {'a': loaded_at, 'b': probe_id}) as last_copy_number
+    from probes where family_id is not null and isfinite(probe_score) group by family_id""",
+    "pair_classes": f"""select relationship, redundant_candidate, case when abs(length_ratio - {_RATIO}) <= 0.05::double and {_RATIO} >= 2 and {_ALIKE} then 'possible_higher_order_or_partial'
+    when local_identity >= 0.9::double and local_overlap_fraction_shorter >= 0.85::double and shared_kmer_fraction >= 0.8::double and length_ratio <= 1.2::double then 'likely_redundant'
+    when {_ALIKE} then 'possible_higher_order_or_partial' else 'distinct' end as recomputed, count(*) as n from family_similarity group by all""",
+    "redundancy_warnings": """select distinct unnest([family_a, family_b]) as family_id, relationship || ':' || family_a || '-' || family_b as warning
+    from family_similarity where relationship <> 'distinct' and family_a is not null and family_b is not null""",
+    "collapse_families": f"""
+with recursive {_FAMILY}, l as (select * from (select *, row_number() over (partition by fam order by record_id desc) as k from f) where k = 1),
+e as (select family_a as a, family_b as b from family_similarity where relationship = 'likely_redundant' and family_a <> family_b),
+d as (select a, b from e union select b, a from e),
+r(x, y) as (select distinct a, a from d union select d.b, r.y from r join d on d.a = r.x),
+g as (select x, min(y) as y from r group by x),
+c as (select l.fam, coalesce(g.y, l.fam) as comp, l.support_read_count, l.support_span_bp, l.mean_identity, l.monomer_length_bp from l left join g on g.x = l.fam),
+b as (select *, first_value(fam) over w as kept, count(*) over (partition by comp) as n from c window w as (partition by comp
+    order by support_read_count desc nulls last, support_span_bp desc nulls last, mean_identity desc nulls last, monomer_length_bp nulls last, fam desc))
+select fam as original_family_id, kept as retained_family_id, case when fam = kept then 'retained' else 'collapsed' end as action,
+    case when fam <> kept then 'likely_redundant_to_retained_family' when n > 1 then 'selected_representative' else 'no_likely_redundant_match' end as reason from b""",
+    "catalog_summary": """
+with t as (select record_id, support_span_bp from families where support_span_bp is not null order by support_span_bp desc, record_id desc limit 1)
+select count(*) as family_count, count_if(low_complexity_flag) as low_complexity_count, count_if(warning <> '') as warning_count, median(monomer_length_bp)::double as median_length_bp,
+    sum(greatest(0, support_read_count))::bigint as total_support_reads, sum(greatest(0, support_span_bp))::bigint as total_support_bp,
+    (select count_if(relationship <> 'distinct') from family_similarity) as non_distinct_pair_count,
+    (select record_id from t) as top_record_id, (select support_span_bp from t) as top_span_bp from families""",
+    "label_counts": f"""
+with s as (select confidence, warning, {_STATUS} as status from families),
+u as (select 'confidence' as column_name, confidence as v from s union all select 'status', status from s union all select 'warning', warning from s)
+select column_name, case when coalesce(v, '') = '' then 'empty' else v end as label, count(*) as n from u group by all""",
+    "warning_counts": """
+with u as (select 'families' as source, warning from families union all select 'array_hits', warning from array_hits union all select 'probes', warning from probes),
+x as (select source, unnest(split(warning, ';')) as warning from u where warning <> '')
+select source, warning, count(*) as n from x where warning <> '' group by all""",
+    "length_histogram": """select floor(monomer_length_bp / 25.0)::bigint * 25 as bin_start, count(*) as n, sum(greatest(0, support_span_bp))::bigint as total_weight
+    from families where monomer_length_bp is not null group by 1""",
+    "top_families": f"select record_id, family_id, support_span_bp, {_STATUS} as status from families order by support_span_bp desc nulls last, record_id limit 20",
+    "flag_accuracy": """
+with a as (select run_id, count_if(redundant_candidate) as positive, count_if(relationship = 'likely_redundant') as predicted,
+        count_if(relationship = 'likely_redundant' and redundant_candidate) as correct, count_if(not redundant_candidate) as background
+        from family_similarity where redundant_candidate is not null and relationship is not null group by run_id)
+select run_id, positive, predicted, correct, case when positive > 0 then round(correct::double / positive, 6) else 0.0 end as recall,
+    case when predicted > 0 then round(correct::double / predicted, 6) else 0.0 end as precision,
+    case when background > 0 then round((predicted - correct)::double / background, 6) else 0.0 end as false_positive_rate from a""",
+    "nearest_lengths": """
+with t as (select distinct monomer_length_bp as n from families where monomer_length_bp is not null),
+r as (select distinct length_a_bp as m from family_similarity where redundant_candidate and length_a_bp is not null),
+x as (select n, m, row_number() over (partition by n order by abs(m - n), m) as k from t, r)
+select n as true_length, m as nearest_length, abs(m - n) as length_error_bp from x where k = 1""",
+    "run_differences": """
+with a as (select run_id as run, max(low_complexity_flag)::varchar as any_low, max(warning) as top_warning, count(*)::varchar as records from families group by run_id),
+u as (select run, 'any_low' as item, any_low as v from a union all select run, 'top_warning', top_warning from a union all select run, 'records', records from a)
+select x.run as run_a, y.run as run_b, item, x.v as value_a, y.v as value_b, x.v is not distinct from y.v as same from u x join u y using (item) where y.run = x.run + 1""",
+    "run_aggregate": """select backend, kmer_size, count(*) as n, median(monomer_length_bp)::double as median_length_bp,
+    round(avg(case when mean_identity >= 0 and mean_identity <= 1 and not isnan(mean_identity) then mean_identity end), 6) as mean_identity,
+    count_if(confidence = 'high') as high_confidence from families join runs using (run_id) group by all""",
+    "failed_checks": """
+with a as (select count(*) as n_rows, count_if(not coalesce(end_bp > start_bp, false)) as half_open, count_if(not coalesce(start_bp >= 0, false)) as not_negative,
+        count_if(not coalesce(score between 0 and 1000, false)) as score_range, count_if(not coalesce(strand in ('+', '-', '.'), false)) as strand,
+        count_if(not coalesce(confidence <> '', false)) as confidence, count_if(not coalesce(family_id <> '', false)) as family from array_hits)
+select 'half_open' as check_name, half_open as n_failed, n_rows from a union all select 'not_negative', not_negative, n_rows from a
+union all select 'score_range', score_range, n_rows from a union all select 'strand', strand, n_rows from a
+union all select 'confidence', confidence, n_rows from a union all select 'family', family, n_rows from a""",
+    "known_matches": f"""
+with {_READS}, {_TOP}, m as (select format('TXF{{:06d}}', i) as id, s from c where i <= 40), w as (select format('TXF{{:06d}}', i) as id, s from c where i > 40 and i <= 80),
+q as (select id, 'forward' as o, 0 as turn, s from w union all select id, 'reverse', 1, {_RC.format("s")} from w),
+mk as (select distinct id, substr(s, i::int, 11) as k from (select id, s, unnest(range(1, length(s) - 9)) as i from m where length(s) >= 11)),
+qk as (select distinct id, o, turn, substr(s, i::int, 11) as k from (select id, o, turn, s, unnest(range(1, length(s) - 9)) as i from q where length(s) >= 11)),
+mn as (select id, count(*) as n from mk group by id), qn as (select id, o, count(*) as n from qk group by id, o),
+x as (select mk.id as f, qk.id as w, qk.o, qk.turn, count(*) as shared from mk join qk using (k) group by all),
+y as (select x.*, 2.0::double * shared / (mn.n + qn.n) as dice, shared::double / qn.n as share from x join mn on mn.id = x.f join qn on qn.id = x.w and qn.o = x.o),
+z as (select *, row_number() over (partition by w order by dice desc, share desc, f, turn) as k from y)
+select w.id as known_repeat_id, length(w.s) as known_repeat_length, z.f as best_family_id, length(m.s) as best_monomer_length, round(coalesce(dice, 0), 6) as similarity_score,
+    round(coalesce(share, 0), 6) as shared_kmer_fraction, z.o as orientation,
+    case when coalesce(dice, 0) >= 0.8 then 'strong_post_hoc_match' when coalesce(dice, 0) >= 0.5 then 'possible_post_hoc_match' when coalesce(dice, 0) > 0 then 'weak_post_hoc_match' else 'no_kmer_match' end as interpretation
+from w left join (select * from z where k = 1) z on z.w = w.id left join m on m.id = z.f""",
 }
