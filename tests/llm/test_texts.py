@@ -163,8 +163,9 @@ def test_statistics_against_plain_python(spark):
 
 def pages(seed):
     rng = random.Random(seed)
-    name = lambda: rng.choice(["Wall", "Hart", "Stan", "Brad"]) + rng.choice(["ford", "ley", "ton", "wick"])
-    good = lambda: rng.choice(["wheat", "barley", "salt", "timber", "coal", "butter"])
+    part = lambda *x: "".join(rng.choice(y.split()) for y in x)
+    name = lambda: part("B D F G H K L M N P R S T Br Dr St Th", "a e i o u ea ai", "l m n r s t ll mp nd rr st", "ford ley ton wick ham by")
+    good = lambda: rng.choice("wheat barley salt timber coal butter garden captain harbour meeting soap doctor candles lantern storm".split())
     money = lambda: f"{rng.randrange(1, 20)}s {rng.randrange(1, 12)}d"
     prose = lambda: f"the {good()} of {name()} was carried by a {good()} to the {rng.choice(['mill', 'market', 'church'])} and their"
     make = {
