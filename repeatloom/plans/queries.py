@@ -161,7 +161,7 @@ def probe_ranking(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["estimated_copy_number", "specificity_score", "arrayiness_score", "gc_content"]
     p = table(spark, sf, "probes").dropna(subset=["family_id", "probe_id", *columns])
     score = probe.probe_score(*(F.col(c) for c in columns))
-    once = p.select("probe_id", "family_id", F.round(score, 6).alias("score")).groupBy("probe_id", "family_id").agg(F.max("score").alias("score"))
+    once = p.select("probe_id", "family_id", score.alias("score")).groupBy("probe_id", "family_id").agg(F.max("score").alias("score"))
     ranked = numbered(once.withColumn("down", -F.col("score")), ["down", "family_id", "probe_id"])
     return ranked.select("probe_id", "family_id", "score", "position")
 
