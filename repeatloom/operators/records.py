@@ -104,6 +104,13 @@ def parse_costs(kind: np.ndarray, first: np.ndarray, fields: int, trace: bool =
     return flat.min(axis=1), edits
 
 
+def _without_end(raw: str, form: dict) -> str:
+    """A record without the line end of its last line; where fields are lines, one that parts the last two stays."""
+    if form["delimiter"] == "\n" and raw.endswith("\n") and raw.count("\n") < form["fields"]:
+        return raw
+    return re.sub(r"(\r\n|\n|\r)\Z", "", raw)
+
+
 def _fields(raw: str, delimiter: str, quotes: bool) -> list[str]:
     """Fields of a well-formed record."""
     if quotes and '"' in raw:
@@ -121,7 +128,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [i for i, (f, r) in enumerate(zip(forms, raws)) if f == fmt and r is not None]
             if not rows:
                 continue
-            texts = [re.sub(r"(\r\n|\n|\r)\Z", "", raws[i]) for i in rows]
+            texts = [_without_end(raws[i], form) for i in rows]
             kind, at, first = _events(pa.array(texts, pa.large_string()), form["delimiter"], form["quotes"])
             cost = parse_costs(kind, first, form["fields"])
             for i, c, text in zip(rows, cost.tolist(), texts):
