@@ -27,23 +27,45 @@ def encode(sequences: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _CODES[data], at - at[0]
 
 
+def chunks(at: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of sequences with at most so many bases each (or one sequence)."""
+    out, lo = [], 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def member(values: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Whether each value is among sorted targets."""
+    if not len(targets):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(targets, values)
+    return targets[np.minimum(at, len(targets) - 1)] == values
+
+
 def kmers(codes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of k bases within one sequence: positions in `codes`, forward and reverse complement code."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
-    bad = np.append(0, np.cumsum(codes < 0, dtype=np.int64))
+    bad = np.append(0, np.cumsum(codes < 0, dtype=np.int32))
     good = bad[k:] == bad[:-k]
-    for j in range(1, k):  # windows that would reach into the next sequence
-        edge = at[1:-1] - j
-        good[edge[(edge >= 0) & (edge < n)]] = False
+    edge = (at[1:-1, None] - np.arange(1, k)).ravel()  # windows that would reach into the next sequence
+    good[edge[(edge >= 0) & (edge < n)]] = False
     where = np.flatnonzero(good)
-    forward, back = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+    kind = np.int32 if k <= 15 else np.int64
+    c = np.maximum(codes, 0).astype(kind)
+    forward, back = np.zeros(n, kind), np.zeros(n, kind)
     for j in range(k):
-        c = codes[where + j].astype(np.int64)
-        forward = (forward << 2) | c
-        back |= (3 - c) << (2 * j)
-    return where, forward, back
+        np.left_shift(forward, 2, out=forward)
+        np.bitwise_or(forward, c[j : j + n], out=forward)
+    c = 3 - c
+    for j in range(k - 1, -1, -1):
+        np.left_shift(back, 2, out=back)
+        np.bitwise_or(back, c[j : j + n], out=back)
+    return where, forward[where].astype(np.int64), back[where].astype(np.int64)
 
 
 def base_counts(codes: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
@@ -69,56 +91,73 @@ def decode(code: int, k: int) -> str:
     return "".join("ACGT"[(code >> (2 * (k - 1 - j))) & 3] for j in range(k))
 
 
-def identity(codes: np.ndarray, period: int) -> float:
-    """Share of equal bases between a sequence and itself shifted, over at most COMPARISONS positions.
+def identities_at(codes: np.ndarray, start: np.ndarray, length: np.ndarray, period: np.ndarray) -> np.ndarray:
+    """Share of equal bases between sequences (start and length in `codes`) and themselves shifted by a period each.
 
-    Positions are spread by a whole step; those with an unknown base do not count.
+    At most COMPARISONS positions count, spread by a whole step; those with an unknown base do not.
     """
-    span = len(codes) - period
-    if span <= 0:
-        return 0.0
-    at = np.arange(0, span, max(1, span // COMPARISONS))
-    left, right = codes[at], codes[at + period]
-    known = np.flatnonzero((left >= 0) & (right >= 0))[:COMPARISONS]
-    return float((left[known] == right[known]).sum() / len(known)) if len(known) else 0.0
+    span = np.maximum(length - period, 0)
+    step = np.maximum(1, span // COMPARISONS)
+    n = -(-span // step)
+    first = np.cumsum(n) - n
+    own = np.repeat(np.arange(len(n)), n)
+    left = start[own] + (np.arange(len(own)) - first[own]) * step[own]
+    x, y = codes[left], codes[left + period[own]]
+    known = (x >= 0) & (y >= 0)
+    total = np.append(0, np.cumsum(known, dtype=np.int64))
+    if len(n) and n.max() > COMPARISONS:
+        known &= total[1:] - total[first[own]] <= COMPARISONS
+        total = np.append(0, np.cumsum(known, dtype=np.int64))
+    equal = np.append(0, np.cumsum(known & (x == y), dtype=np.int64))
+    valid = total[first + n] - total[first]
+    return np.where(valid > 0, (equal[first + n] - equal[first]) / np.maximum(valid, 1), 0.0)
 
 
 def identities(codes: np.ndarray, at: np.ndarray, period: int) -> np.ndarray:
-    """`identity` of each sequence of a batch."""
+    """`identities_at` of each sequence of a batch for one period."""
     length = np.diff(at)
+    usual = (length > period) & (length - period <= COMPARISONS)
     out = np.zeros(len(length))
-    usual = (length > period) & (length - period < 2 * COMPARISONS) & (length - period <= COMPARISONS)
     if len(codes) > period:
         left, right = codes[:-period], codes[period:]
         known = (left >= 0) & (right >= 0)
-        k = np.append(0, np.cumsum(known, dtype=np.int64))
-        e = np.append(0, np.cumsum(known & (left == right), dtype=np.int64))
+        k = np.append(0, np.cumsum(known, dtype=np.int32))
+        e = np.append(0, np.cumsum(known & (left == right), dtype=np.int32))
         begin, end = at[:-1][usual], at[1:][usual] - period
         valid = k[end] - k[begin]
         out[usual] = np.where(valid > 0, (e[end] - e[begin]) / np.maximum(valid, 1), 0.0)
-    for i in np.flatnonzero((length > period) & ~usual):
-        out[i] = identity(codes[at[i] : at[i + 1]], period)
+    rest = (length > period) & ~usual
+    out[rest] = identities_at(codes, at[:-1][rest], length[rest], np.full(rest.sum(), period))
     return out
 
 
-def spacings(groups: list[np.ndarray], low: int, high: int, cap: int, bin_size: int = 5) -> dict[int, int]:
-    """Counts of binned distances between positions of the same seed, at most `cap` in range (and 20 cap at all) a seed.
+def spacings(position: np.ndarray, first: np.ndarray, size: np.ndarray, owner: np.ndarray, low: int, high: np.ndarray, cap: int, bin_size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of binned distances between positions of the same seed: (owner, bin, count), in their order.
 
-    Neighbours come first, then positions two apart and so on.
+    Seeds are runs of `position` (first and size of each), each with an owner, whose distances lie from low to high. Of
+    a seed at most `cap` distances in range count, of 20 cap at all: those of neighbours first, then two apart and so on.
     """
-    histogram: dict[int, int] = {}
-    for positions in groups:
-        taken = seen = 0
-        for gap in range(1, len(positions)):
-            d = (positions[gap:] - positions[:-gap])[: 20 * cap - seen]
-            seen += len(d)
-            d = d[(d >= low) & (d <= high)][: cap - taken]
-            taken += len(d)
-            for b, c in zip(*np.unique(np.clip((d + bin_size // 2) // bin_size * bin_size, low, high), return_counts=True)):
-                histogram[int(b)] = histogram.get(int(b), 0) + int(c)
-            if taken >= cap or seen >= 20 * cap:
-                break
-    return histogram
+    keys, taken = [], np.zeros(len(first), np.int64)
+    ends = first + size
+    for gap in range(1, int(size.max(initial=1))):
+        seen = (gap - 1) * size - gap * (gap - 1) // 2  # pairs closer than this gap
+        some = np.flatnonzero((size > gap) & (taken < cap) & (seen < 20 * cap))
+        if not len(some):
+            continue
+        n = np.minimum(ends[some] - gap - first[some], 20 * cap - seen[some])
+        begin = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(some)), n)
+        left = first[some][own] + np.arange(len(own)) - begin[own]
+        d = position[left + gap] - position[left]
+        group = some[own]
+        fit = (d >= low) & (d <= high[group])
+        rank = np.append(0, np.cumsum(fit))
+        fit &= taken[group] + rank[1:] - rank[begin][own] <= cap
+        taken += np.bincount(group[fit], minlength=len(first))
+        d, group = d[fit], group[fit]
+        keys.append(owner[group] * (1 << 32) + np.clip((d + bin_size // 2) // bin_size * bin_size, low, high[group]))
+    key, count = np.unique(np.concatenate(keys) if keys else np.array([], np.int64), return_counts=True)
+    return key >> 32, key & ((1 << 32) - 1), count
 
 
 def phase_score(groups: list[np.ndarray], period: int, tolerance: int = 2) -> float:
@@ -135,20 +174,6 @@ def phase_score(groups: list[np.ndarray], period: int, tolerance: int = 2) -> fl
     return held / total if total else 0.0
 
 
-def refine(codes: np.ndarray, groups: list[np.ndarray], candidates: list[int], low: int, high: int, accept: float = 0.75) -> tuple[int, float]:
-    """Best period within 2 of the candidates, by 0.8 identity and 0.2 phase score; the smaller one on a tie.
-
-    Where identity is so low that no phase score could lift it to `accept`, the phase score counts as 0.
-    """
-    best, best_score = 0, 0.0
-    for period in sorted({c + o for c in candidates for o in range(-2, 3) if low <= c + o <= high}):
-        same = identity(codes, period)
-        score = 0.8 * same if same < (accept - 0.2) / 0.8 else 0.2 * phase_score(groups, period) + 0.8 * same
-        if score > best_score:
-            best, best_score = period, score
-    return best, best_score
-
-
 def local_identity(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     """Best identity of two sequences (codes) without gaps over all offsets with enough overlap, and that overlap.
 

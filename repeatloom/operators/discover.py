@@ -43,32 +43,77 @@ class DiscoverConfig:
             raise ValueError("min_seed_occurrences must be at least 2")
 
 
-def seed_positions(codes: np.ndarray, at: np.ndarray, config: DiscoverConfig) -> dict[int, tuple[list[np.ndarray], int]]:
-    """By read with repeated seeds: the positions of each (the first max_pairs_per_kmer + 1), and how many seeds had more."""
+#: Bases that a scan works on at once.
+CHUNK = 1 << 22
+
+
+@dataclass
+class Seeds:
+    """Repeated seeds of a batch: runs of positions within their read (first and size of each run), and the reads."""
+
+    position: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    read: np.ndarray
+
+
+def repeated_seeds(codes: np.ndarray, at: np.ndarray, config: DiscoverConfig) -> Seeds:
+    """Seeds that occur often enough in a read and are not of low complexity; of each the first max_pairs_per_kmer + 1."""
     k = config.kmer_size
     where, forward, back = kernels.kmers(codes, at, k)
     keep = ~kernels.low_seed(codes, where, k)
     where, seed = where[keep], np.minimum(forward, back)[keep]
     read = np.searchsorted(at, where, side="right") - 1
-    order = np.lexsort((where, seed, read))
+    order = np.argsort((read << (2 * k)) | seed, kind="stable") if 2 * k + len(at).bit_length() < 63 else np.lexsort((seed, read))
     where, seed, read = where[order], seed[order], read[order]
-    if not len(seed):
-        return {}
-    first = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (read[1:] != read[:-1])))
+    new = np.append(True, (seed[1:] != seed[:-1]) | (read[1:] != read[:-1])) if len(seed) else np.array([], bool)
+    first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(seed)))
-    cap = config.max_pairs_per_kmer + 1
-    out: dict[int, tuple[list[np.ndarray], int]] = {}
-    for i in np.flatnonzero(size >= config.min_seed_occurrences):
-        r = int(read[first[i]])
-        groups, over = out.get(r, ([], 0))
-        groups.append(where[first[i] : first[i] + min(size[i], cap)] - at[r])
-        out[r] = (groups, over + int(size[i] > cap))
-    return out
-
-
-def best_periods(sequences: pa.Array, config: DiscoverConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Each sequence's accepted period (0 if none) and its score."""
-    codes, at = kernels.encode(sequences)
+    often = size >= config.min_seed_occurrences
+    return Seeds(where - at[read], first[often], np.minimum(size[often], config.max_pairs_per_kmer + 1), read[first[often]])
+
+
+def seed_peaks(seeds: Seeds, length: np.ndarray, config: DiscoverConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best supported spacing bins of each read: (read, period, support, place from 1)."""
+    high = np.minimum(config.max_monomer_len, length // 2)
+    keep = high[seeds.read] >= config.min_monomer_len
+    first, size, owner = seeds.first[keep], seeds.size[keep], seeds.read[keep]
+    read, period, support = kernels.spacings(seeds.position, first, size, owner, config.min_monomer_len, high[owner], config.max_pairs_per_kmer)
+    keep = support >= config.min_spacing_support
+    read, period, support = read[keep], period[keep], support[keep]
+    order = np.lexsort((period, -support, read))
+    read, period, support = read[order], period[order], support[order]
+    new = np.append(True, read[1:] != read[:-1]) if len(read) else np.array([], bool)
+    place = np.arange(1, len(read) + 1) - np.maximum.accumulate(np.where(new, np.arange(len(read)), 0))
+    keep = place <= config.top_periods
+    return read[keep], period[keep], support[keep], place[keep]
+
+
+def _refined(codes: np.ndarray, at: np.ndarray, seeds: Seeds, read: np.ndarray, period: np.ndarray, config: DiscoverConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best period of each read within 2 of its peaks, by 0.8 identity and 0.2 phase score: (read, period, score).
+
+    The smaller period on a tie. Where identity is so low that no phase score could lift it, the phase score counts as 0.
+    """
+    length = np.diff(at)
+    near = (period[:, None] + np.arange(-2, 3)).ravel()
+    key = np.unique((np.repeat(read, 5) << 32) + np.maximum(near, 0))
+    read, period = key >> 32, key & ((1 << 32) - 1)
+    keep = (period >= config.min_monomer_len) & (period <= np.minimum(config.max_monomer_len, length[read] // 2))
+    read, period = read[keep], period[keep]
+    same = kernels.identities_at(codes, at[:-1][read], length[read], period)
+    score = 0.8 * same
+    for i in np.flatnonzero(same >= (config.accept - 0.2) / 0.8):
+        lo, hi = np.searchsorted(seeds.read, [read[i], read[i] + 1])
+        most = lo + np.argsort(-seeds.size[lo:hi], kind="stable")[: kernels.SEED_GROUPS]
+        groups = [seeds.position[seeds.first[g] : seeds.first[g] + seeds.size[g]] for g in most]
+        score[i] = 0.2 * kernels.phase_score(groups, int(period[i])) + 0.8 * same[i]
+    order = np.lexsort((period, -score, read))
+    read, period, score = read[order], period[order], score[order]
+    best = np.append(True, read[1:] != read[:-1]) if len(read) else np.array([], bool)
+    return read[best], period[best], score[best]
+
+
+def _chunk_periods(codes: np.ndarray, at: np.ndarray, config: DiscoverConfig) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(at)
     period, score = np.zeros(len(length), np.int64), np.zeros(len(length))
     fit = (length >= config.min_read_length) & (length >= config.min_repeat_span)
@@ -80,20 +125,25 @@ def best_periods(sequences: pa.Array, config: DiscoverConfig) -> tuple[np.ndarra
     short = score >= config.short_accept
     period, score = np.where(short, period, 0), np.where(short, score, 0.0)
 
-    rest = fit & ~short & (length >= 2 * config.min_monomer_len) & (length >= config.kmer_size)
-    for r, (groups, _) in seed_positions(codes, at, config).items():
-        high = min(config.max_monomer_len, int(length[r]) // 2)
-        if not rest[r] or high < config.min_monomer_len:
-            continue
-        histogram = kernels.spacings(groups, config.min_monomer_len, high, config.max_pairs_per_kmer)
-        peaks = sorted(((-n, p) for p, n in histogram.items() if n >= config.min_spacing_support))[: config.top_periods]
-        groups.sort(key=len, reverse=True)
-        p, s = kernels.refine(codes[at[r] : at[r + 1]], groups[: kernels.SEED_GROUPS], [p for _, p in peaks], config.min_monomer_len, high, config.accept)
-        if p and s >= config.accept:
-            period[r], score[r] = p, s
+    rest = np.flatnonzero(fit & ~short & (length >= 2 * config.min_monomer_len) & (length >= config.kmer_size))
+    if len(rest):
+        inner = np.repeat(at[rest], length[rest]) + np.arange(length[rest].sum()) - np.repeat(np.cumsum(length[rest]) - length[rest], length[rest])
+        codes, at = codes[inner], np.append(0, np.cumsum(length[rest]))
+        seeds = repeated_seeds(codes, at, config)
+        read, peak, _, _ = seed_peaks(seeds, np.diff(at), config)
+        read, p, s = _refined(codes, at, seeds, read, peak, config)
+        good = s >= config.accept
+        period[rest[read[good]]], score[rest[read[good]]] = p[good], s[good]
     return period, score
 
 
+def best_periods(sequences: pa.Array, config: DiscoverConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Each sequence's accepted period (0 if none) and its score."""
+    codes, at = kernels.encode(sequences)
+    parts = [_chunk_periods(codes[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], config) for lo, hi in kernels.chunks(at, CHUNK)]
+    return (np.concatenate([p for p, _ in parts]), np.concatenate([s for _, s in parts])) if parts else (np.array([], np.int64), np.array([]))
+
+
 def _scan(config: DiscoverConfig):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

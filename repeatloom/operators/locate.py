@@ -33,7 +33,7 @@ def _hits(k: int, targets: np.ndarray | None):
             where, forward, back = kernels.kmers(codes, at, k)
             seed = np.minimum(forward, back)
             if targets is not None:
-                keep = np.isin(seed, targets)
+                keep = kernels.member(seed, targets)
                 where, seed = where[keep], seed[keep]
             row = np.searchsorted(at, where, side="right") - 1
             start = where - at[row] + b.column(1).to_numpy()[row]

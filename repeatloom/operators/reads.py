@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatloom.functions import kernels
-from repeatloom.operators.discover import DiscoverConfig, seed_positions
+from repeatloom.operators.discover import CHUNK, DiscoverConfig, repeated_seeds, seed_peaks
 from repeatloom.operators.order import numbered
 
 
@@ -81,18 +81,11 @@ def _peaks(config: DiscoverConfig):
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes, at = kernels.encode(b.column(2))
-            rows, out = [], []
-            for r, (groups, _) in seed_positions(codes, at, config).items():
-                high = min(config.max_monomer_len, int(at[r + 1] - at[r]) // 2)
-                if high < config.min_monomer_len:
-                    continue
-                found = kernels.spacings(groups, config.min_monomer_len, high, config.max_pairs_per_kmer)
-                kept = sorted((-n, p) for p, n in found.items() if n >= config.min_spacing_support)[: config.top_periods]
-                rows += [r] * len(kept)
-                out += [(p, -n, i) for i, (n, p) in enumerate(kept, 1)]
-            take = pa.array(np.array(rows, np.int64))
-            columns = [pa.array([x[j] for x in out], pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *columns], ["file_idx", "rec_idx", "period_bp", "support", "peak"])
+            for lo, hi in kernels.chunks(at, CHUNK):
+                own = at[lo : hi + 1] - at[lo]
+                found = seed_peaks(repeated_seeds(codes[at[lo] : at[hi]], own, config), np.diff(own), config)
+                take = pa.array(found[0] + lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *map(pa.array, found[1:])], ["file_idx", "rec_idx", "period_bp", "support", "peak"])
 
     return peaks
 

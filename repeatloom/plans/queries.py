@@ -23,7 +23,7 @@ DISCOVER = discover.DiscoverConfig(min_repeat_span=40)
 
 
 def _reads(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.clean(table(spark, sf, "reads"))
+    return reads.clean(table(spark, sf, "reads", spread=True))
 
 
 def _frequent(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
@@ -43,15 +43,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return bad_records(parse_records(table(spark, sf, "raw_records")))
+    return bad_records(parse_records(table(spark, sf, "raw_records", spread=True)))
 
 
 def p6_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    return valid_arrays(parse_records(table(spark, sf, "raw_records")))
+    return valid_arrays(parse_records(table(spark, sf, "raw_records", spread=True)))
 
 
 def p6_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return valid_reads(parse_records(table(spark, sf, "raw_records")))
+    return valid_reads(parse_records(table(spark, sf, "raw_records", spread=True)))
 
 
 def sequence_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,11 +120,11 @@ def short_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discover_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.with_candidate_ids(discover.candidate_reads(table(spark, sf, "reads"), DISCOVER))
+    return discover.with_candidate_ids(discover.candidate_reads(table(spark, sf, "reads", spread=True), DISCOVER))
 
 
 def discover_families(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.families(discover.candidate_reads(table(spark, sf, "reads"), DISCOVER), DISCOVER)
+    return discover.families(discover.candidate_reads(table(spark, sf, "reads", spread=True), DISCOVER), DISCOVER)
 
 
 def discover_similarity(spark: SparkSession, sf: str) -> DataFrame:

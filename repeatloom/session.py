@@ -29,9 +29,15 @@ def get_session(app: str = "repeatloom", cpus: int | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """The Parquet table `name` of a data folder.
+
+    spread: where its files are so few or small that a scan would leave cores idle, rows are dealt out to as many tasks
+    as there are cores, which pays for work on each row that takes longer than moving it.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def width(spark: SparkSession, factor: int = 1) -> int:

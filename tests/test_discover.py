@@ -58,29 +58,98 @@ def test_identity_with_itself_shifted(n):
     s = "".join(rng.choice("ACGTN" if rng.random() < 0.2 else "ACG") for _ in range(n))
     c, at = kernels.encode(pa.array([s, "ACGT", s]))
     for p in (1, 2, 7, 19, 500):
-        assert kernels.identity(codes(s), p) == pytest.approx(slow_identity(s, p))
+        assert kernels.identities_at(c, at[:-1], np.diff(at), np.full(3, p)) == pytest.approx([slow_identity(x, p) for x in (s, "ACGT", s)])
         assert kernels.identities(c, at, p) == pytest.approx([slow_identity(x, p) for x in (s, "ACGT", s)])
 
 
 def test_unknown_bases_break_seeds():
     seed = "ACGTACGGTCA"
-    groups = discover.seed_positions(*kernels.encode(pa.array([seed + "N" + seed])), DiscoverConfig())
-    assert [g.tolist() for g in groups[0][0]] == [[0, 12]] and groups[0][1] == 0
-
-
-def test_spacings_and_caps():
-    seed = "ACGTCAGGTCA"
-    s = (seed + "TTGACCATGC") * 8
-    groups = discover.seed_positions(*kernels.encode(pa.array([s])), DiscoverConfig())[0][0]
-    found = kernels.spacings(groups, 2, 84, 100, bin_size=1)
-    assert max(found, key=lambda p: (found[p], -p)) == 21 and found[21] >= 7
-    assert sum(kernels.spacings([np.arange(50) * 10], 2, 1000, 3).values()) == 3
+    found = discover.repeated_seeds(*kernels.encode(pa.array([seed + "N" + seed])), DiscoverConfig())
+    assert found.position[found.first[0] :][: found.size[0]].tolist() == [0, 12] and len(found.first) == 1
+
+
+def slow_spacings(groups, low, high, cap, bin_size):
+    histogram: dict = {}
+    for positions in groups:
+        taken = seen = 0
+        for gap in range(1, len(positions)):
+            for i in range(len(positions) - gap):
+                if taken >= cap or seen >= 20 * cap:
+                    break
+                d = positions[i + gap] - positions[i]
+                seen += 1
+                if low <= d <= high:
+                    b = min(high, max(low, (d + bin_size // 2) // bin_size * bin_size))
+                    histogram[b] = histogram.get(b, 0) + 1
+                    taken += 1
+    return histogram
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 200), min_size=2, max_size=30, unique=True), max_size=5), st.integers(1, 12))
+def test_spacings_and_caps(groups, cap):
+    groups = [sorted(g) for g in groups]
+    size = np.array([len(g) for g in groups], np.int64)
+    position = np.array([x for g in groups for x in g], np.int64)
+    for owners in (np.zeros(len(groups), np.int64), np.arange(len(groups))):
+        got = kernels.spacings(position, np.cumsum(size) - size, size, owners, 5, np.full(len(groups), 90), cap)
+        want: dict = {}
+        for o, g in zip(owners.tolist(), groups):
+            for b, n in slow_spacings([g], 5, 90, cap, 5).items():
+                want[o, b] = want.get((o, b), 0) + n
+        assert dict(zip(zip(got[0].tolist(), got[1].tolist()), got[2].tolist())) == want
+
+
+def test_the_commonest_spacing_is_the_period():
+    s = ("ACGTCAGGTCA" + "TTGACCATGC") * 8
+    codes, at = kernels.encode(pa.array(["ACGT", s]))
+    read, period, support, place = discover.seed_peaks(discover.repeated_seeds(codes, at, DiscoverConfig()), np.diff(at), DiscoverConfig())
+    assert (read[0], period[0], place[0]) == (1, 20, 1) and support[0] >= 7
     assert kernels.phase_score([np.array([19, 20, 39, 40, 59, 60])], 20, 1) == 1.0
 
 
-def test_refinement_gives_up_below_a_viable_identity():
-    s = codes("A" * 100 + "C" * 100)
-    assert kernels.refine(s, [np.array([0, 100])], [100], 98, 102) == (0, 0.0) or kernels.refine(s, [np.array([0, 100])], [100], 100, 100) == (0, 0.0)
+def slow_best(s, config):
+    """The plain form of a read's scan."""
+    best = (0.0, 0)
+    if len(s) < config.min_repeat_span:
+        return 0, 0.0
+    for p in range(config.min_monomer_len, min(19, len(s) // 2) + 1):
+        x = slow_identity(s, p)
+        best = (x, p) if x > best[0] else best
+    if best[0] >= 0.8:
+        return best[1], best[0]
+    k, groups = config.kmer_size, {}
+    for i in range(len(s) - k + 1):
+        w = s[i : i + k]
+        if "N" not in w and len(set(w)) > 2 and max(map(w.count, "ACGT")) < -(-4 * k // 5):
+            groups.setdefault(min(w, revcomp(w)), []).append(i)
+    groups = [groups[w][: config.max_pairs_per_kmer + 1] for w in sorted(groups) if len(groups[w]) >= 2]
+    high = min(config.max_monomer_len, len(s) // 2)
+    h = slow_spacings(groups, config.min_monomer_len, high, config.max_pairs_per_kmer, 5)
+    peaks = sorted((-n, p) for p, n in h.items() if n >= config.min_spacing_support)[: config.top_periods]
+    groups = sorted(groups, key=lambda g: -len(g))[:128]
+    best = (0.0, 0)
+    for p in sorted({q + o for _, q in peaks for o in range(-2, 3) if config.min_monomer_len <= q + o <= high}):
+        x = slow_identity(s, p)
+        x = 0.8 * x if x < 0.6875 else 0.8 * x + 0.2 * kernels.phase_score([np.array(g) for g in groups], p)
+        best = (x, p) if x > best[0] else best
+    return (best[1], best[0]) if best[0] >= 0.75 else (0, 0.0)
+
+
+@pytest.mark.parametrize("seed", [1, 7, 13])
+def test_scans_against_the_plain_form(seed, monkeypatch):
+    monkeypatch.setattr(discover, "CHUNK", 2500)
+    rng = random.Random(seed)
+    reads = []
+    for _ in range(40):
+        unit = "".join(rng.choice("ACGT") for _ in range(rng.choice([3, 18, 25, 60, 140])))
+        s = (unit * rng.randrange(2, 12)) + "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 30, 200])))
+        reads.append("".join(rng.choice("ACGTN") if rng.random() < rng.choice([0, 0.03, 0.1]) else b for b in s))
+    config = DiscoverConfig(min_repeat_span=40)
+    period, score = best_periods(pa.array([*reads, None, ""]), config)
+    want = [slow_best(s, config) for s in [*reads, "", ""]]
+    assert period.tolist() == [p for p, _ in want]
+    assert score == pytest.approx([s for _, s in want])
 
 
 @settings(max_examples=40, deadline=None)
