@@ -62,7 +62,7 @@ def p5_best_record(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = count_tokens(table(spark, sf, "documents"), ["doc_id"], "text")
+    sizes = count_tokens(table(spark, sf, "documents", spread=True), ["doc_id"], "text")
     return pack_documents(sizes, "doc_id", CONTAINER_TOKENS)
 
 
@@ -71,7 +71,7 @@ def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     targets = {r["source"]: Target(r["target_share"], r["max_repeats"]) for r in table(spark, sf, "mix_targets").collect()}
     languages = sorted(r[0] for r in table(spark, sf, "common_words").select("lang").distinct().collect())
     band = F.when(F.col("page_no") == 1, "front").when(F.col("page_no") <= 4, "inner").when(F.col("page_no") > 4, "back")
-    wanted = table(spark, sf, "documents").where(F.col("source").isin(list(targets))).withColumn("topic", band)
+    wanted = table(spark, sf, "documents", spread=True).where(F.col("source").isin(list(targets))).withColumn("topic", band)
     sizes = count_tokens(wanted, ["doc_id", "source", "lang", "topic"], "text")
     classes = {"lang": (F.col("lang"), languages), "topic": (F.col("topic"), ["front", "inner", "back"])}
     return mix(sizes, "doc_id", "source", classes, targets)
@@ -92,7 +92,7 @@ def _common_words(spark: SparkSession, sf: str) -> list[str]:
 
 
 def p9_labels(spark: SparkSession, sf: str) -> DataFrame:
-    documents, words = table(spark, sf, "documents"), _common_words(spark, sf)
+    documents, words = table(spark, sf, "documents", spread=True), _common_words(spark, sf)
     return label_lines(documents, "doc_id", "text", fit_lines(documents, "text", words), words).withColumnRenamed("doc", "doc_id")
 
 
@@ -101,7 +101,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    s = document_statistics(table(spark, sf, "documents"), "doc_id", "text", _common_words(spark, sf))
+    s = document_statistics(table(spark, sf, "documents", spread=True), "doc_id", "text", _common_words(spark, sf))
     return s.select(F.col("doc").alias("doc_id"), "n_lines", "n_words", *[F.round(c, 6).alias(c) for c in s.columns[3:]])
 
 
