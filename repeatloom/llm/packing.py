@@ -80,8 +80,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     Rounds of best fit, each for all items at once: free items and gaps are sorted by size over ranges (with a hash to
     part equal sizes); a sweep gives each gap the largest free item that fits (`match_sorted`), then the items and gaps
     that ranges have left are matched across ranges by their ranks, from counts per range; gaps shrink; the next round
-    follows. New containers are opened, as many as the free items need at least, at first and whenever few items
-    found a gap. A gap that would hold several of the largest free item offers several places. Each round is written
+    follows. New containers are opened, as many as the free items need at least, at first, whenever few items
+    found a gap, and for the last 2 % of items. A gap that would hold several of the largest free item offers several places. Each round is written
     to the shared folder; the driver sees counts per range only.
     """
     spark, work = items.sparkSession, Scratch(items.sparkSession, "packing")
@@ -89,7 +89,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     free = work.write(items.select(F.col("item").cast("bigint").alias("item"), F.col("size").cast("bigint").alias("size")), "free0")
     open_bins, placed, bins, k = None, [], 0, 0
     n, total, largest, least = free.agg(F.count(F.lit(1)), F.sum("size"), F.max("size"), F.min("size")).head()
-    few = True
+    every, few = n, True
     while n:
         if few:
             add = -(-total // capacity)
@@ -123,7 +123,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         n, total, largest, least = free.agg(F.count(F.lit(1)), F.sum("size"), F.max("size"), F.min("size")).head()
         if n:
             open_bins = work.write(open_bins.join(shrink, "bin", "left").select("bin", gap).where(F.col("gap") >= least), f"open{k}")
-        few = before - n < 0.1 * before
+        few = before - n < 0.1 * before or n < 0.02 * every
         work.drop(f"swept{k}", f"free{k}", f"open{k - 1}")
         k += 1
     if not placed:
