@@ -103,13 +103,14 @@ def _disjoint(gap: int):
     return disjoint
 
 
-def _merged(df: DataFrame, key: tuple[str, str], start: str, end: str, gap: int) -> DataFrame:
+def _merged(df: DataFrame, key: tuple[str, str], start: str, end: str, gap: int, keep: bool = False) -> DataFrame:
     """Disjoint intervals of each key: (k1, k2, s, e, hits, before), `before` the end of the one before in its key.
 
     Tasks build partial lists of the rows they read; these are range-partitioned by key and start, so that a large key
     spreads over many ranges; each range merges its lists in one pass as a stream. The root of the tree merges ranges:
     ends that reach over a range's border are carried along the ranges of a key, which takes one row per range of a key
-    that lies in several (never more than two per range).
+    that lies in several (never more than two per range). With keep, the partial lists are written first, so that rows
+    that are costly to make are not made again for the sample of the range partitioning.
     """
     k1, k2 = key
     work = Scratch(df.sparkSession, "intervals")
@@ -117,6 +118,8 @@ def _merged(df: DataFrame, key: tuple[str, str], start: str, end: str, gap: int)
         "k1 is not null and k2 is not null and s >= 0 and e > s"
     )
     lists = valid.mapInArrow(_combine(gap), "k1 string, k2 string, s bigint, e bigint, hits bigint")
+    if keep:
+        lists = work.write(lists, "lists")
     ranges = lists.repartitionByRange(width(df.sparkSession), "k1", "k2", "s").sortWithinPartitions("k1", "k2", "s")
     parts = work.write(ranges.mapInArrow(_disjoint(gap), "part int, k1 string, k2 string, s bigint, e bigint, hits bigint, before bigint"), "parts")
 
@@ -158,12 +161,13 @@ def periods_and_gaps(df: DataFrame, key: tuple[str, str], start: str, end: str)
     return rows.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), "r.kind", F.col("r.s").alias(start), F.col("r.e").alias(end))
 
 
-def merge_intervals(df: DataFrame, key: tuple[str, str], start: str, end: str, max_gap: int = 0) -> DataFrame:
+def merge_intervals(df: DataFrame, key: tuple[str, str], start: str, end: str, max_gap: int = 0, keep: bool = False) -> DataFrame:
     """Intervals of each key merged where they are at most `max_gap` apart: (both key columns, start, end, hit_count).
 
-    hit_count is the number of rows merged. Rows that are not valid do not count, as in `periods_and_gaps`.
+    hit_count is the number of rows merged. Rows that are not valid do not count, as in `periods_and_gaps`. keep: for
+    rows that are costly to make, see `_merged`.
     """
-    m = _merged(df, key, start, end, max_gap)
+    m = _merged(df, key, start, end, max_gap, keep)
     return m.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), F.col("s").alias(start), F.col("e").alias(end), F.col("hits").alias("hit_count"))
 
 

@@ -55,7 +55,7 @@ def locate_arrays(contigs: DataFrame, catalog: DataFrame, k: int = 21) -> DataFr
     share of its k-mers that hit, in thousandths; 500 is high confidence.
     """
     own = monomer_kmers(catalog, k).where("not low").select("family_id", "kmer")
-    merged = merge_intervals(kmer_hits(contigs, own, k), ("chrom", "family_id"), "start_bp", "end_bp", 2 * k)
+    merged = merge_intervals(kmer_hits(contigs, own, k), ("chrom", "family_id"), "start_bp", "end_bp", 2 * k, keep=True)
     half = F.floor(F.length(F.replace("sequence", F.lit("N"), F.lit(""))) / 2)
     sized = merged.join(catalog.select(F.col("family_id").cast("string"), F.greatest(half, F.lit(2 * k)).alias("least")), "family_id")
     span = F.col("end_bp") - F.col("start_bp")
