@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.functions import dna
 from repeatloom.operators.intervals import merge_intervals, overlap_semi_join
 from repeatloom.operators.locate import kmer_hits
+from repeatloom.operators.order import numbered
 from repeatloom.operators.quantify import monomer_kmers
 
 LOW_COMPLEXITY = 0.8
@@ -58,7 +59,7 @@ def rank_probes(catalog: DataFrame, contigs: DataFrame, copy_number: DataFrame,
     identifiers are given in the order of families and places.
     """
     tiles = probe_sequences(catalog, min_len, max_len).where(dna.top_base_share("sequence") < LOW_COMPLEXITY)
-    named = tiles.withColumn("probe_id", F.format_string("TXP%06d", F.row_number().over(Window.orderBy("family_id", "place"))))
+    named = numbered(tiles, ["family_id", "place"]).withColumn("probe_id", F.format_string("TXP%06d", "position"))
     regions = probe_regions(named, contigs).join(named.select("probe_id", "family_id"), "probe_id")
     targets = overlap_semi_join(regions, arrays, ["chrom", "family_id"], "start_bp", "end_bp")
     text = F.concat("chrom", F.lit(":"), "start_bp", F.lit("-"), "end_bp")
