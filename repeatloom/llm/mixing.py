@@ -95,17 +95,18 @@ def _calibrated(docs: DataFrame, cells: DataFrame) -> DataFrame:
     up_to = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
 
     def reached(sizes: DataFrame) -> DataFrame:
-        run = sizes.withColumn("sum", F.sum("size").over(up_to)).join(cells, "cell")
+        run = sizes.withColumn("sum", F.sum("size").over(up_to)).join(F.broadcast(cells), "cell")
         over = F.col("sum") > F.col("wanted")
         return run.groupBy("cell").agg(F.min(F.when(over, F.col("part"))).alias("part"), F.max(F.when(~over, F.col("sum"))).alias("below"), F.min(F.when(over, F.col("sum"))).alias("above"))
 
     first = reached(docs.groupBy("cell", high.alias("part")).agg(F.sum("tokens").alias("size")))
-    within = docs.join(first.where("part is not null").select("cell", F.col("part").alias("at"), "below"), "cell").where(high == F.col("at"))
+    at = first.where("part is not null").select("cell", F.col("part").alias("at"), "below")
+    within = docs.join(F.broadcast(at), "cell").where(high == F.col("at"))  # a row per cell
     sizes = within.groupBy("cell", low.alias("part")).agg((F.sum("tokens")).alias("size"), F.first("below").alias("below"))
     start = F.when(F.col("part") == F.min("part").over(Window.partitionBy("cell")), F.coalesce("below", F.lit(0))).otherwise(F.lit(0))
     second = reached(sizes.select("cell", "part", (F.col("size") + start).alias("size")))
     second = second.select("cell", F.col("part").alias("low"), F.col("below").alias("below2"), F.col("above").alias("above2"))
-    both = first.join(second, "cell", "left").join(cells, "cell")
+    both = first.join(second, "cell", "left").join(F.broadcast(cells), "cell")
     below = F.coalesce("below2", "below", F.lit(0))
     nearer = (F.col("above2") - F.col("wanted") < F.col("wanted") - below).cast("int")
     upto = F.when(F.col("part").isNull(), F.lit(n * n)).otherwise(F.shiftleft("part", BITS) + F.col("low") + nearer)

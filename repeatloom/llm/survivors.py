@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repeatloom.functions.names import family_name as family_number  # noqa: F401
+
 
 def _order(completeness: list[Column]) -> list[Column]:
     return [*completeness, F.asc_nulls_last("trust"), F.desc_nulls_last("recency"), F.desc("record")]
@@ -49,11 +51,3 @@ def best_record(df: DataFrame, group: Column, record: Column, trust: Column, rec
         .where(F.col("rank") == 1)
         .select("group", "record", "n_usable")
     )
-
-
-def family_number(column: str) -> Column:
-    """The number in a family identifier however written, as TXF%06d; null if it holds none."""
-    digits = F.regexp_extract(column, r"([0-9]+)\D*$", 1)
-    number = F.regexp_replace(digits, "^0+", "")
-    padded = F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)
-    return F.when(F.length(digits) > 0, F.concat(F.lit("TXF"), padded))
