@@ -167,9 +167,10 @@ def probe_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fish_signals(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "probes").groupBy("probe_id", "family_id", "predicted_regions").agg(F.max("probe_score").alias("predicted_signal"))
-    regions = probe.parse_regions(p).distinct()
-    return regions.join(p.groupBy("probe_id").agg(F.max("predicted_signal").alias("predicted_signal")), "probe_id")
+    s = F.col("probe_score")
+    signal = F.max(F.when(~F.isnan(s) & (F.abs(s) != float("inf")), s)).alias("predicted_signal")
+    p = table(spark, sf, "probes")
+    return probe.parse_regions(p).distinct().join(p.groupBy("probe_id").agg(signal), "probe_id")
 
 
 def probes_on_target(spark: SparkSession, sf: str) -> DataFrame:

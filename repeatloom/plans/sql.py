@@ -161,7 +161,7 @@ with q as (select probe_id, family_id, least(1.0::double, estimated_copy_number
         from probes where family_id is not null and probe_id is not null and estimated_copy_number is not null and specificity_score is not null and arrayiness_score is not null and gc_content is not null),
 o as (select probe_id, family_id, max(score) as score from q group by all)
 select *, row_number() over (order by score desc, family_id, probe_id) as position from o""",
-    "fish_signals": f"with {_REGIONS}, m as (select probe_id, max(probe_score) as predicted_signal from probes group by probe_id) select g.*, predicted_signal from g join m using (probe_id)",
+    "fish_signals": f"with {_REGIONS}, m as (select probe_id, max(case when isfinite(probe_score) then probe_score end) as predicted_signal from probes group by probe_id) select g.*, predicted_signal from g join m using (probe_id)",
     "probes_on_target": f"""with {_REGIONS} select * from g where family_id is not null and end_bp > start_bp and exists
     (select 1 from array_hits a where a.chrom = g.chrom and a.family_id = g.family_id and a.start_bp >= 0 and a.end_bp > a.start_bp and g.start_bp < a.end_bp and a.start_bp < g.end_bp)""",
     "best_probe_scores": """select family_id, max(probe_score) as max_probe_score, arg_max_null(estimated_copy_number, {'a': loaded_at, 'b': probe_id}) as last_copy_number
