@@ -68,15 +68,17 @@ def kmers(codes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return where, forward[where].astype(np.int64), back[where].astype(np.int64)
 
 
-def base_counts(codes: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
-    """Counts of the four bases in windows of k."""
-    return np.stack([(t := np.append(0, np.cumsum(codes == b, dtype=np.int64)))[where + k] - t[where] for b in range(4)])
-
-
 def low_seed(codes: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
-    """Windows unfit as seeds: at most two different bases, or 80 % of one."""
-    counts = base_counts(codes, where, k)
-    return ((counts > 0).sum(0) <= 2) | (counts.max(0) >= math.ceil(0.8 * k))
+    """Windows of k bases (at `where`) unfit as seeds: at most two different bases, or 80 % of one."""
+    if not len(where):
+        return np.zeros(0, bool)
+    kinds, most = np.zeros(len(codes) - k + 1, np.int8), np.zeros(len(codes) - k + 1, np.int32)
+    for b in range(4):
+        total = np.append(np.int32(0), np.cumsum(codes == b, dtype=np.int32))
+        n = total[k:] - total[:-k]
+        kinds += n > 0
+        np.maximum(most, n, out=most)
+    return ((kinds <= 2) | (most >= math.ceil(0.8 * k)))[where]
 
 
 def low_diagnostic(code: np.ndarray, k: int) -> np.ndarray:
@@ -117,17 +119,15 @@ def identities(codes: np.ndarray, at: np.ndarray, period: int) -> np.ndarray:
     """`identities_at` of each sequence of a batch for one period."""
     length = np.diff(at)
     usual = (length > period) & (length - period <= COMPARISONS)
+    unknown = np.flatnonzero(codes < 0)
+    usual[np.searchsorted(at, unknown, side="right") - 1] = False
     out = np.zeros(len(length))
-    if len(codes) > period:
-        left, right = codes[:-period], codes[period:]
-        known = (left >= 0) & (right >= 0)
-        k = np.append(0, np.cumsum(known, dtype=np.int32))
-        e = np.append(0, np.cumsum(known & (left == right), dtype=np.int32))
-        begin, end = at[:-1][usual], at[1:][usual] - period
-        valid = k[end] - k[begin]
-        out[usual] = np.where(valid > 0, (e[end] - e[begin]) / np.maximum(valid, 1), 0.0)
+    if usual.any():
+        equal = np.append(np.int32(0), np.cumsum(codes[:-period] == codes[period:], dtype=np.int32))
+        out[usual] = (equal[at[1:][usual] - period] - equal[at[:-1][usual]]) / (length[usual] - period)
     rest = (length > period) & ~usual
-    out[rest] = identities_at(codes, at[:-1][rest], length[rest], np.full(rest.sum(), period))
+    if rest.any():
+        out[rest] = identities_at(codes, at[:-1][rest], length[rest], np.full(rest.sum(), period))
     return out
 
 
