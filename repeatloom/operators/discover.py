@@ -178,7 +178,7 @@ def candidate_reads(reads: DataFrame, config: DiscoverConfig = DiscoverConfig())
 
 def with_candidate_ids(candidates: DataFrame) -> DataFrame:
     """Adds candidate_id, numbered in the order of files and records."""
-    return numbered(candidates, ["file_idx", "rec_idx"]).withColumn("candidate_id", F.format_string("TXC%06d", "position")).drop("position")
+    return numbered(candidates, ["file_idx", "rec_idx"], keep=True).withColumn("candidate_id", F.format_string("TXC%06d", "position")).drop("position")
 
 
 def cluster_periods(counts: list[tuple[int, int]], tolerance: int = 5) -> dict[int, int]:

@@ -23,14 +23,17 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = n + b.num_rows, int(run[-1])
 
 
-def numbered(df: DataFrame, order: list[str], value: str | None = None, position: str = "position", total: str = "running_total") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], value: str | None = None, position: str = "position", total: str = "running_total", keep: bool = False) -> DataFrame:
     """Adds each row's position (from 1) in the order of its columns and the running total of a whole-number column.
 
     The order must be total for the result to be determined. Null values count as 0. An empty table gives an empty
     result. Rows are range-partitioned and sorted; ranges are numbered each for itself and shifted by the counts and
-    sums of those before, a row per range on the driver.
+    sums of those before, a row per range on the driver. With keep, rows are written first, so that rows that are costly
+    to make are not made again for the sample of the range partitioning.
     """
     work = Scratch(df.sparkSession, "order")
+    if keep:
+        df = work.write(df, "rows")
     amount = F.coalesce(F.col(value).cast("bigint"), F.lit(0)) if value else F.lit(0).cast("bigint")
     rows = df.withColumn("_amount", amount).repartitionByRange(width(df.sparkSession), *order).sortWithinPartitions(*order)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", _part int, _index bigint, _run bigint"
