@@ -10,7 +10,7 @@ from repeatloom.functions.names import family_name
 from repeatloom.operators import annotate, catalog, discover, intervals, locate, probe, quantify, reads
 from repeatloom.operators.order import numbered
 from repeatloom.operators.records import bad_records, parse_records, valid_arrays, valid_reads
-from repeatloom.session import table
+from repeatloom.session import Scratch, table
 
 MONOMERS, K = 40, 21
 GENOME_SIZE = 1_000_000.0
@@ -34,6 +34,19 @@ def _frequent(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
     return spark.createDataFrame([(f"TXF{i:06d}", s) for i, s in rows], "family_id string, sequence string").coalesce(1)
 
 
+def _supported(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sequence of known bases with the reads that a family needs, by rank, as a catalog (family_id, sequence)."""
+    known = _reads(spark, sf).where(F.col("sequence").rlike("^[ACGT]+$")).groupBy("sequence").agg(F.count(F.lit(1)).alias("n"))
+    ranked = numbered(known.where(F.col("n") >= DISCOVER.min_support_reads).withColumn("down", -F.col("n")), ["down", "sequence"], keep=True)
+    return ranked.select(F.format_string("TXF%06d", "position").alias("family_id"), "sequence")
+
+
+def _library(spark: SparkSession, sf: str) -> DataFrame:
+    """The known repeats (known_id, known_sequence): monomers of all families discovered; kept, as they are costly to make."""
+    found = discover_families(spark, sf).select(F.col("monomer_id").alias("known_id"), F.col("monomer_sequence").alias("known_sequence"))
+    return Scratch(spark, "library").write(found, "known")
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -128,17 +141,35 @@ def discover_families(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discover_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.family_similarity(_frequent(spark, sf, 1, 10 * MONOMERS).withColumnRenamed("sequence", "monomer_sequence"))
+    return discover.family_similarity(_supported(spark, sf).withColumnRenamed("sequence", "monomer_sequence"))
 
 
-def copy_number(spark: SparkSession, sf: str) -> DataFrame:
-    out = quantify.copy_number(_reads(spark, sf), _frequent(spark, sf, 1, MONOMERS), K, genome_size=GENOME_SIZE)
+def _copy_number(spark: SparkSession, sf: str, monomers: DataFrame) -> DataFrame:
+    out = quantify.copy_number(_reads(spark, sf), monomers, K, genome_size=GENOME_SIZE)
     return _rounded(out, "median_kmer_depth", "haploid_depth", "estimated_copy_number", "estimated_bp")
 
 
-def locate_arrays(spark: SparkSession, sf: str) -> DataFrame:
+def copy_number(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the MONOMERS most frequent sequences only, as in its SQL; `copy_number_all` has the whole catalog."""
+    return _copy_number(spark, sf, _frequent(spark, sf, 1, MONOMERS))
+
+
+def copy_number_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _copy_number(spark, sf, _supported(spark, sf))
+
+
+def _locate_arrays(spark: SparkSession, sf: str, monomers: DataFrame) -> DataFrame:
     contigs = _reads(spark, sf).select(F.concat("file_idx", F.lit(":"), "rec_idx").alias("chrom"), "sequence")
-    return locate.locate_arrays(contigs, _frequent(spark, sf, 1, MONOMERS), K)
+    return locate.locate_arrays(contigs, monomers, K)
+
+
+def locate_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the MONOMERS most frequent sequences only, as in its SQL; `locate_arrays_all` has the whole catalog."""
+    return _locate_arrays(spark, sf, _frequent(spark, sf, 1, MONOMERS))
+
+
+def locate_arrays_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _locate_arrays(spark, sf, _supported(spark, sf))
 
 
 def merged_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,13 +281,17 @@ def failed_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def known_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Of ranks 1 to 40 and 41 to 80 only, as in its SQL; `known_matches_all` has the whole catalog and library."""
     known = _frequent(spark, sf, MONOMERS + 1, 2 * MONOMERS).select(F.col("family_id").alias("known_id"), F.col("sequence").alias("known_sequence"))
     return _rounded(annotate.known_matches(_frequent(spark, sf, 1, MONOMERS), known), "similarity_score", "shared_kmer_fraction")
 
 
+def known_matches_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(annotate.known_matches(_supported(spark, sf), _library(spark, sf)), "similarity_score", "shared_kmer_fraction")
+
+
 def annotate_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    known = _frequent(spark, sf, MONOMERS + 1, 2 * MONOMERS).select(F.col("family_id").alias("known_id"), F.col("sequence").alias("known_sequence"))
-    return annotate.annotate_repeats(_frequent(spark, sf, 1, MONOMERS), known)
+    return annotate.annotate_repeats(_supported(spark, sf), _library(spark, sf))
 
 
 QUERIES = {
@@ -267,5 +302,6 @@ QUERIES = {
         discover_similarity, copy_number, locate_arrays, merged_hits, window_density, assembly_vs_reads, probe_ranking, fish_signals, probes_on_target,
         best_probe_scores, pair_classes, redundancy_warnings, collapse_families, catalog_summary, label_counts, warning_counts, length_histogram, top_families,
         label_pairs, flag_accuracy, nearest_lengths, run_differences, run_aggregate, failed_checks, known_matches, annotate_repeats,
+        copy_number_all, locate_arrays_all, known_matches_all,
     )
 }
