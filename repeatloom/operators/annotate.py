@@ -9,28 +9,45 @@ from repeatloom.functions import dna
 from repeatloom.operators.discover import local_identities
 
 
-def _strand_kmers(c: Column, k: int) -> Column:
+def _strand_kmers(c: Column, k: Column) -> Column:
     """Different k-mers of a sequence as written, without those that hold an N."""
     n = F.length(c)
-    every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, F.lit(k)))
+    every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, k))
     return F.when(n >= k, F.array_distinct(F.filter(every, lambda x: ~F.contains(x, F.lit("N"))))).otherwise(F.array().cast("array<string>"))
 
 
+def _short_lengths(df: DataFrame, sequence: str, k: int) -> DataFrame:
+    """The lengths below k that sequences have, as one row (at most k - 1 numbers)."""
+    n = F.length(sequence)
+    return df.agg(F.collect_set(F.when((n >= 1) & (n < k), n)).alias("short"))
+
+
+def _sized_kmers(df: DataFrame, sequence: str, other: DataFrame, k: int) -> DataFrame:
+    """Adds size, its k-mers and their number: at k bases, or all of a shorter sequence, and at each shorter length of `other`."""
+    n = F.length(sequence)
+    own = F.filter(F.array_union(F.array(F.least(n, F.lit(k))), "short"), lambda x: (x >= 1) & (x <= n))
+    sized = df.crossJoin(F.broadcast(other)).withColumn("size", F.explode(own)).drop("short")
+    sized = sized.withColumn("kmers", _strand_kmers(F.col(sequence), F.col("size")))
+    return sized.withColumns({"n": F.size("kmers"), "length": n})
+
+
 def kmer_matches(catalog: DataFrame, known: DataFrame, k: int = 11) -> DataFrame:
     """Pairs of a catalog (family_id, sequence) and known repeats (known_id, known_sequence) that share a k-mer in an orientation.
 
     The known library is the stated query set; pairs meet by their k-mers. Shared counts and set sizes give the usual
-    measures. Both sides need k bases; a family without match gives no row.
+    measures. A pair with a side of less than k bases is compared at the length of its shorter side; so a sequence has
+    k-mers of its own size and of each shorter length of the other side. A family without match gives no row.
     """
-    c = catalog.select("family_id", "sequence", _strand_kmers(F.col("sequence"), k).alias("kmers"))
     turned = F.array(
         F.struct(F.lit("forward").alias("orientation"), F.lit(0).alias("turn"), F.col("known_sequence").alias("s")),
         F.struct(F.lit("reverse").alias("orientation"), F.lit(1).alias("turn"), dna.reverse_complement("known_sequence").alias("s")),
     )
-    q = known.select("known_id", F.inline(turned)).withColumn("kmers", _strand_kmers(F.col("s"), k))
-    left = c.select("family_id", F.size("kmers").alias("n_c"), F.explode("kmers").alias("kmer"))
-    right = q.select("known_id", "orientation", "turn", F.size("kmers").alias("n_k"), F.explode("kmers").alias("kmer"))
-    shared = left.join(right, "kmer").groupBy("family_id", "known_id", "orientation", "turn", "n_c", "n_k").agg(F.count(F.lit(1)).alias("shared"))
+    c = _sized_kmers(catalog.select("family_id", "sequence"), "sequence", _short_lengths(known, "known_sequence", k), k)
+    q = _sized_kmers(known.select("known_id", F.inline(turned)), "s", _short_lengths(catalog, "sequence", k), k)
+    left = c.select("family_id", "size", F.col("n").alias("n_c"), F.col("length").alias("length_c"), F.explode("kmers").alias("kmer"))
+    right = q.select("known_id", "orientation", "turn", "size", F.col("n").alias("n_k"), F.col("length").alias("length_k"), F.explode("kmers").alias("kmer"))
+    met = left.join(right, ["size", "kmer"]).where(F.col("size") == F.least(F.lit(k), "length_c", "length_k"))
+    shared = met.groupBy("family_id", "known_id", "orientation", "turn", "n_c", "n_k").agg(F.count(F.lit(1)).alias("shared"))
     return shared.withColumns(
         {
             "shared_kmer_fraction": F.col("shared") / F.least("n_c", "n_k"),

@@ -6,6 +6,7 @@ from statistics import median
 
 import pytest
 
+from repeatloom.operators import annotate
 from repeatloom.plans.queries import GENOME_SIZE, QUERIES
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -83,3 +84,41 @@ def test_known_repeats_against_all_families(spark, folder):
     assert next(r["best_known_id"] for r in rows if r["family_id"] == tandem) in known
     got = {r["known_repeat_id"]: r for r in QUERIES["known_matches_all"](spark, at).collect()}
     assert set(got) == set(known) and tandem in {r["best_family_id"] for r in got.values()}
+
+
+def strands(s):
+    return ("forward", s), ("reverse", s[::-1].translate(COMPLEMENT))
+
+
+def kmer_numbers(a, b):
+    """Shared k-mers, k-mers of a and of b, at 11 bases or the length of the shorter."""
+    k = min(11, len(a), len(b))
+    x, y = ({s[i : i + k] for i in range(len(s) - k + 1) if "N" not in s[i : i + k]} for s in (a, b))
+    return len(x & y), len(x), len(y)
+
+
+@pytest.fixture(scope="module")
+def short():
+    rng = random.Random(3)
+    new = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    units = ["AC", "CAG", "TTAGGG", "ACGTN", "N", *map(new, (2, 4, 5, 7, 8, 10, 10))]
+    catalog = {f"f{i:02d}": s for i, s in enumerate([*units, new(11), new(12), *(u * 6 + new(20) for u in units)])}
+    known = {f"k{i:02d}": s for i, s in enumerate(["TTAGGG", "GT", "ACGTN", *units[5:9], *map(new, (3, 10, 11)), units[6] * 9, *(new(15) + u * 3 for u in units[5:])])}
+    return catalog, known
+
+
+def frames(spark, short):
+    return spark.createDataFrame([*short[0].items()], "family_id string, sequence string"), spark.createDataFrame([*short[1].items()], "known_id string, known_sequence string")
+
+
+def test_matches_of_sequences_shorter_than_k(spark, short):
+    catalog, known = short
+    want = {(f, k, way): n for f, s in catalog.items() for k, t in known.items() for way, u in strands(t) if (n := kmer_numbers(s, u))[0]}
+    got = annotate.kmer_matches(*frames(spark, short)).collect()
+    assert {(r["family_id"], r["known_id"], r["orientation"]): (r["shared"], r["n_c"], r["n_k"]) for r in got} == want and len(got) == len(want)
+    best = {r["known_repeat_id"]: r for r in annotate.known_matches(*frames(spark, short)).collect()}
+    assert (best["k00"]["best_family_id"], best["k00"]["interpretation"]) == ("f02", "strong_post_hoc_match")
+    dice = {k: max((2 * n[0] / (n[1] + n[2]) for (_, q, _), n in want.items() if q == k), default=0) for k in known}
+    assert {k: r["similarity_score"] for k, r in best.items()} == pytest.approx(dice)
+    status = {r["family_id"]: (r["annotation_status"], r["dice"]) for r in annotate.annotate_repeats(*frames(spark, short)).collect()}
+    assert status["f02"] == ("strong_known_match", 1.0)
