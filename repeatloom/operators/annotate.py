@@ -9,6 +9,9 @@ from repeatloom.functions import dna
 from repeatloom.operators.discover import local_identities
 
 
+NUMBERS = ["shared_kmer_fraction", "jaccard", "dice", "containment_discovered_in_known", "containment_known_in_discovered", "local_identity", "local_overlap_bp"]
+
+
 def _strand_kmers(c: Column, k: Column) -> Column:
     """Different k-mers of a sequence as written, without those that hold an N."""
     n = F.length(c)
@@ -77,8 +80,9 @@ def annotation_status(monomer: Column, known: Column, dice: Column, inside: Colu
 def annotate_repeats(catalog: DataFrame, known: DataFrame, k: int = 11) -> DataFrame:
     """Each family's best known repeat by Dice, containment, local identity and overlap, then by identifier.
 
-    Local identity is found for the pairs of a family's best Dice only, as Dice decides first. A family that shares no
-    k-mer with any known repeat has no match.
+    Local identity is found for the pairs of a family's best Dice, as Dice decides first. A family that shares no k-mer
+    with any known repeat is compared with all of them (`best_by_identity`). best_known_id is null where such a family
+    has no match; nearest_known_id names the repeat that the figures are of in any case.
     """
     m = kmer_matches(catalog, known, k)
     inside = F.greatest("containment_discovered_in_known", "containment_known_in_discovered")
@@ -88,13 +92,35 @@ def annotate_repeats(catalog: DataFrame, known: DataFrame, k: int = 11) -> DataF
     m = m.join(catalog.select("family_id", F.col("sequence").alias("a")), "family_id").join(known.select("known_id", F.col("known_sequence").alias("b")), "known_id")
     m = m.withColumn("seq_a", F.col("a")).withColumn("seq_b", F.when(F.col("turn") == 1, dna.reverse_complement("b")).otherwise(F.col("b")))
     m = local_identities_forward(m)
+    columns = ["family_id", "known_id", "orientation", "turn", "a", "b", *NUMBERS, "inside"]
     order = Window.partitionBy("family_id").orderBy(F.desc("local_identity"), F.desc("local_overlap_bp"), "known_id", "turn")
-    best = m.withColumn("place", F.row_number().over(order)).where("place = 1")
+    best = m.withColumn("place", F.row_number().over(order)).where("place = 1").select(*columns)
+    rest = best_by_identity(catalog.join(best.select("family_id"), "family_id", "left_anti"), known)
+    zero = {n: F.lit(0.0) for n in [*NUMBERS[:5], "inside"]}
+    best = best.unionByName(rest.withColumns(zero).select(*columns))
     status = annotation_status(F.length("a"), F.length("b"), F.col("dice"), F.col("inside"), F.col("local_identity"), F.col("local_overlap_bp"))
-    numbers = ["shared_kmer_fraction", "jaccard", "dice", "containment_discovered_in_known", "containment_known_in_discovered", "local_identity", "local_overlap_bp"]
-    best = best.select("family_id", F.col("known_id").alias("best_known_id"), F.length("b").cast("bigint").alias("best_known_length"), F.col("orientation").alias("best_orientation"), *numbers, status.alias("annotation_status"))
+    best = best.withColumn("annotation_status", status)
+    matched = (F.col("dice") > 0) | (F.col("annotation_status") != "no_known_match")
+    best = best.select(
+        "family_id", F.when(matched, F.col("known_id")).alias("best_known_id"), F.length("b").cast("bigint").alias("best_known_length"), F.col("orientation").alias("best_orientation"),
+        *NUMBERS, "annotation_status", F.col("known_id").alias("nearest_known_id"),
+    )
     out = catalog.select("family_id", F.length("sequence").cast("bigint").alias("monomer_length")).join(best, "family_id", "left")
-    return out.fillna(0, numbers).fillna("no_known_match", ["annotation_status"])
+    return out.fillna(0, NUMBERS).fillna("no_known_match", ["annotation_status"])
+
+
+def best_by_identity(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """Of families (family_id, sequence), the known repeat of best local identity, then overlap, then identifier.
+
+    Every pair is compared, in both orientations: the known library is the stated query set. Families are dealt out to
+    all cores; each family's best is combined before the shuffle.
+    """
+    left = rest.select("family_id", F.col("sequence").alias("seq_a")).repartition(rest.sparkSession.sparkContext.defaultParallelism)
+    pairs = local_identities(left.crossJoin(known.select("known_id", F.col("known_sequence").alias("seq_b"))))
+    first = F.struct(-F.col("local_identity"), -F.col("local_overlap_bp"), "known_id")
+    found = F.struct("known_id", "seq_a", "seq_b", "local_identity", "local_overlap_bp", "orientation")
+    best = pairs.groupBy("family_id").agg(F.min_by(found, first).alias("r")).select("family_id", "r.*")
+    return best.withColumnsRenamed({"seq_a": "a", "seq_b": "b"}).withColumn("turn", F.when(F.col("orientation") == "reverse", 1).otherwise(0))
 
 
 def local_identities_forward(pairs: DataFrame) -> DataFrame:

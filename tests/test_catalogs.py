@@ -122,3 +122,38 @@ def test_matches_of_sequences_shorter_than_k(spark, short):
     assert {k: r["similarity_score"] for k, r in best.items()} == pytest.approx(dice)
     status = {r["family_id"]: (r["annotation_status"], r["dice"]) for r in annotate.annotate_repeats(*frames(spark, short)).collect()}
     assert status["f02"] == ("strong_known_match", 1.0)
+
+
+def identity(a, b):
+    least, best = min(50, len(a), len(b)), (0.0, 0)
+    for offset in range(-len(b) + 1, len(a)):
+        x, y = a[max(0, offset) :], b[max(0, -offset) :]
+        if (n := min(len(x), len(y))) >= least:
+            best = max(best, (sum(map(str.__eq__, x, y)) / n, n))
+    return best if best[0] else (0.0, 0)
+
+
+def test_annotation_without_a_common_kmer(spark):
+    rng = random.Random(9)
+    new = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    far = lambda s: "".join(x if i % 5 else x.translate(COMPLEMENT) for i, x in enumerate(s))
+    a, b = new(70), new(90)
+    catalog = {"f1": far(a), "f2": far(b)[::-1].translate(COMPLEMENT), "f3": new(60), "f4": a, "f5": new(80)}
+    known = {"k1": a, "k2": b, "k3": b, "k4": new(20)}
+    rows = annotate.annotate_repeats(*frames(spark, (catalog, known))).collect()
+    got = {r["family_id"]: r for r in rows}
+    assert len(rows) == len(catalog)
+    for f, s in catalog.items():
+        pairs = []
+        for k, t in known.items():
+            for turn, (way, u) in enumerate(strands(t)):
+                shared, x, y = kmer_numbers(s, u)
+                same, over = identity(s, u)
+                pairs.append((-2 * shared / (x + y), -max(shared / x, shared / y), -same, -over, k, turn, way))
+        dice, _, same, over, k, _, way = min(pairs)
+        r = got[f]
+        assert (r["nearest_known_id"], r["best_orientation"], r["local_overlap_bp"], r["best_known_length"]) == (k, way, -over, len(known[k]))
+        assert (r["dice"], r["local_identity"]) == (pytest.approx(-dice), pytest.approx(-same))
+        weak = not dice and same <= -0.65
+        assert (r["annotation_status"] == "weak_known_match") == weak and r["best_known_id"] == (k if dice or weak else None)
+    assert [got[f]["best_known_id"] for f in ("f1", "f2")] == ["k1", "k2"] and got["f2"]["best_orientation"] == "reverse"
