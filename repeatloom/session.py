@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,15 +42,21 @@ def table(spark: SparkSession, folder: str, name: str, spread: bool = False) ->
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-def width(spark: SparkSession, factor: int = 1) -> int:
-    """Number of shuffle partitions for operators that need a fixed number, from the session's setting."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
+#: Bytes on disk that one range of a range-partitioned table has at most, about.
+RANGE_BYTES = 64 << 20
+
+
+def width(spark: SparkSession, size: int = 0, each: int = RANGE_BYTES) -> int:
+    """Number of ranges for a table of some bytes on disk: the session's shuffle partitions, or more for a large table."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all tasks are local."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -69,15 +77,24 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def _located(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, for Hadoop's file calls."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 class Scratch:
     """Written tables of one operator's run in the shared folder.
 
-    Writing a table there cuts its lineage and survives the loss of executors. Tables that a later step
-    replaces are deleted by `drop`; the rest stay until the folder is cleared, as a result may still read them.
+    Writing a table there cuts its lineage and survives the loss of executors. Tables that a later step replaces are
+    deleted by `drop`; the rest stay, as a result may still read them, until `release` or the end of the program.
     """
 
+    made: list[tuple] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(_located(spark, self.at))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
@@ -87,8 +104,25 @@ class Scratch:
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.at}/{name}")
 
+    def size(self, name: str) -> int:
+        """Bytes of a written table."""
+        path, fs = _located(self.spark, f"{self.at}/{name}")
+        return fs.getContentSummary(path).getLength()
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = _located(self.spark, f"{self.at}/{name}")
+            fs.delete(path, True)
+
+    @classmethod
+    def release(cls) -> None:
+        """Deletes the tables of all operators so far, once their results are written."""
+        while cls.made:
+            path, fs = cls.made.pop()
+            try:
+                fs.delete(path, True)
+            except Py4JError:  # the program's JVM is gone
+                cls.made.clear()
+
+
+atexit.register(Scratch.release)
