@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from repeatloom.session import Scratch
 
-#: A vertex is hot if it has more than this part of all edge ends (so there are at most 1,000) and at least HOT_LEAST.
-HOT_PART, HOT_LEAST, SALTS = 1000, 20_000, 32
+#: A key is hot if it has more than one HOT_PART-th of all rows (so there are fewer than HOT_PART of them) and at least HOT_LEAST.
+HOT_PART, HOT_LEAST = 1000, 20_000
+#: Rounds of growth that are planned as one job.
+ROUNDS_A_JOB = 6
 
 
 def _start(vertex: Column, level: int, beta: float, rounds: int) -> Column:
@@ -17,72 +19,92 @@ def _start(vertex: Column, level: int, beta: float, rounds: int) -> Column:
     return F.greatest(F.lit(0.0), F.lit(float(rounds)) + F.log(F.lit(1.0) - uniform) / F.lit(beta))
 
 
-def _hot(ends: DataFrame, m: int) -> list:
-    """The hot vertices: at most HOT_PART of them, as each has more than 1/HOT_PART of all ends."""
-    least = max(HOT_LEAST, 2 * m // HOT_PART)
-    if 2 * m <= least:
+def _hot(keys: DataFrame, key: str, total: int) -> list:
+    """The hot keys among so many rows: fewer than HOT_PART, as each has more than its part of the total."""
+    least = max(HOT_LEAST, total // HOT_PART)
+    if total <= least:
         return []
-    return [r[0] for r in ends.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("src").collect()]
+    return [r[0] for r in keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(key).collect()]
 
 
-def _clusters(edges: DataFrame, m: int, level: int, beta: float, rounds: int) -> DataFrame:
+def _looked_up(df: DataFrame, key: str, states: DataFrame, hot: list, how: str = "inner") -> DataFrame:
+    """df with the columns of `states` (one row for each key): hot keys' rows stay where they are and are sent theirs."""
+    if not hot:
+        return df.join(states, key, how)
+    is_hot = F.col(key).isin(hot)
+    sent = F.broadcast(states.where(is_hot))  # fewer than HOT_PART rows
+    return df.where(~is_hot).join(states.where(~is_hot), key, how).unionByName(df.where(is_hot).join(sent, key, how))
+
+
+def _grown(work: Scratch, links: DataFrame, hot: list, level: int, beta: float, rounds: int) -> DataFrame:
     """Cluster of each vertex: (v, c). A vertex joins the cluster that reaches it first.
 
-    A cluster grows from its centre's start time by one hop a time unit; after `rounds` rounds, in each of
-    which every vertex takes the least (time, centre) of itself and its neighbours, all are reached, as no
-    vertex starts later than that.
+    links: (v, to, hop), each link both ways and each vertex to itself with hop 0. A cluster grows from its centre's start
+    time by one hop a time unit: in each round every vertex takes the least (time, centre) of itself and its neighbours.
+    After `rounds` rounds all are reached, as no vertex starts later than that; growth ends sooner if a round changes
+    nothing. Offers are combined before the shuffle, which leaves them where the next round's links wait.
     """
-    ends = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a"))
-    hot = _hot(ends, m)
-    salt = lambda v, by: F.when(v.isin(hot), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
-    vertices = ends.select(F.col("src").alias("v")).distinct()
-    links = ends.select("src", "dst", F.lit(1.0).alias("hop")).union(vertices.select("v", "v", F.lit(0.0)))
-    links = links.withColumn("salt", salt(F.col("src"), F.col("dst")).cast("int"))
-    at = vertices.select("v", F.struct(_start(F.col("v"), level, beta, rounds).alias("time"), F.col("v").alias("centre")).alias("best"))
-    for _ in range(rounds):
-        if hot:  # a hot vertex's state goes to every salt of its links
-            salts = F.when(F.col("v").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-            at = at.withColumn("salt", F.explode(salts))
-        else:
-            at = at.withColumn("salt", F.lit(0))
-        reached = links.join(at, (F.col("src") == F.col("v")) & (links["salt"] == at["salt"]))
-        offer = F.struct((F.col("best.time") + F.col("hop")).alias("time"), F.col("best.centre").alias("centre"))
-        at = reached.groupBy(F.col("dst").alias("v")).agg(F.min(offer).alias("best"))
+    at = links.where("hop = 0").select("v", F.struct(_start(F.col("v"), level, beta, rounds).alias("time"), F.col("v").alias("centre")).alias("best"))
+    offer = F.struct((F.col("best.time") + F.col("hop")).alias("time"), F.col("best.centre").alias("centre"))
+    for done in range(0, rounds, ROUNDS_A_JOB):
+        for _ in range(min(ROUNDS_A_JOB, rounds - done)):
+            reached = _looked_up(links, "v", at.hint("merge"), hot)
+            at = reached.groupBy(F.col("to").alias("v")).agg(F.min(offer).alias("best"), F.max(F.when(F.col("hop") == 0, F.col("best"))).alias("before"))
+            at, last = at.select("v", "best"), at
+        seen = Observation()
+        last = last.observe(seen, F.count_if(F.col("best") != F.col("before")).alias("changed")).select("v", "best")
+        at = work.write(last, f"grown{level}-{done}")
+        if done:
+            work.drop(f"grown{level}-{done - ROUNDS_A_JOB}")
+        if not seen.get["changed"]:
+            break
     return at.select("v", F.col("best.centre").alias("c"))
 
 
-def linked_groups(pairs: DataFrame, a: str, b: str, beta: float = 0.25, rounds: int = 8, max_levels: int = 100) -> DataFrame:
+def linked_groups(pairs: DataFrame, a: str, b: str, beta: float = 0.1, rounds: int = 24, max_levels: int = 100) -> DataFrame:
     """One group identifier for all records linked directly or through others: (group_id, member), one row per record.
 
     group_id is the smallest member. Pairs with a null end and pairs of a record with itself link nothing and give
     no row; repeated and reversed pairs count once; an empty table gives an empty result; other columns are not read.
 
     Method: at each level every vertex draws an exponentially distributed shift, clusters grow from the vertices
-    in order of their shifted start times (`_clusters`), each cluster becomes one vertex, and the next level works
+    in order of their shifted start times (`_grown`), each cluster becomes one vertex, and the next level works
     on the edges between clusters, a constant part of the edges; the assignments are composed from the last level
-    to the first. Levels are written to the shared folder. Hot vertices have their links salted; the edges that
-    lead to them are combined before the shuffle.
+    to the first. Levels are written to the shared folder. Rows of hot vertices, and of hot clusters when assignments
+    are composed, are not shuffled by them (`_looked_up`).
     """
     spark, work = pairs.sparkSession, Scratch(pairs.sparkSession, "groups")
     pair = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
-    edges = work.write(pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges0")
     levels: list[DataFrame] = []
-    while m := edges.count():
-        k = len(levels)
+    edges = pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    while True:
+        k, seen = len(levels), Observation()
+        edges = work.write(edges.distinct().observe(seen, F.count(F.lit(1)).alias("n")), f"edges{k}")
+        if k:
+            work.drop(f"edges{k - 1}")
+        m = seen.get["n"]
+        if not m:
+            break
         if k == max_levels:
             raise RuntimeError(f"links between clusters are left after {k} levels")
-        own = work.write(_clusters(edges, m, k, beta, rounds), f"level{k}")
+        hot = _hot(edges.select(F.explode(F.array("a", "b")).alias("v")), "v", 2 * m)
+        both = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))
+        links = edges.select(F.inline(both)).withColumn("hop", F.lit(1.0))
+        links = links.union(links.select("v", F.col("v"), F.lit(0.0)).distinct())
+        own = _grown(work, links, hot, k, beta, rounds)
         levels.append(own)
-        left = edges.join(own.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(own.select(F.col("v").alias("b"), F.col("c").alias("y")), "b")
-        left = left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = work.write(left, f"edges{k + 1}")
-        work.drop(f"edges{k}")
+        for end in ("a", "b"):
+            edges = _looked_up(edges, end, own.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}")), hot)
+        edges = edges.where("c_a <> c_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
     if not levels:
         return edges.select(F.col("a").alias("group_id"), F.col("b").alias("member"))
     root = levels.pop()
     while levels:
+        below = levels.pop()
+        hot = _hot(below, "c", below.count())
         above = root.select(F.col("v").alias("c"), F.col("c").alias("r"))
-        root = levels.pop().join(above, "c", "left").select("v", F.coalesce("r", "c").alias("c"))
+        root = _looked_up(below, "c", above, hot, "left").select("v", F.coalesce("r", "c").alias("c"))
     root = work.write(root, "root")
     least = root.groupBy("c").agg(F.min("v").alias("group_id"))
-    return root.join(least, "c").select("group_id", F.col("v").alias("member"))
+    return _looked_up(root, "c", least, _hot(root, "c", root.count())).select("group_id", F.col("v").alias("member"))
+
