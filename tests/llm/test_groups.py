@@ -144,3 +144,22 @@ def test_best_fields_of_an_empty_table_and_of_copies(spark, rows):
     assert best_fields(*records(spark, [])).count() == 0
     data = [(i, "TXF1", 1, 1.0, 1, 1) for i in range(1, 400)]
     assert rows(best_fields(*records(spark, data))) == [("TXF000001", "a", 399), ("TXF000001", "b", 399)]
+
+
+def test_a_value_of_a_third_of_all_rows_costs_a_row_a_task(spark, monkeypatch):
+    import pyarrow as pa
+
+    from repeatloom.llm import heavy
+
+    values = [("hot" if i % 3 == 0 else f"v{i % 50}") for i in range(3000)] + [None] * 7
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + 100], pa.string())], ["s"]) for i in range(0, len(values), 100)]
+    for most in (1 << 20, 4000, 1):
+        monkeypatch.setattr(heavy, "RUN_BYTES", most)
+        got = Counter()
+        rows_of_hot = 0
+        for b in heavy._sorted_runs(iter(batches)):
+            for v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[v] += n
+                rows_of_hot += v == "hot"
+        assert got == Counter(values)
+        assert rows_of_hot == 1 or most == 1
