@@ -9,9 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repeatloom.session import Scratch
+
 KINDS = ["prose", "list", "table", "junk"]
 PROSE, LIST, TABLE, JUNK = range(4)
 SPACE, LOWER, UPPER, DIGIT, SYMBOL, LETTER = range(6)  # classes of characters; LETTER: one without case
@@ -284,13 +286,34 @@ def viterbi(o: np.ndarray, doc: np.ndarray, model: LineModel) -> np.ndarray:
     return kinds
 
 
-def fit(texts: list[str], common: list[str], rounds: int = 2) -> LineModel:
-    """Trains the model on some texts: from the lines that are plain to see, then by labelling the others in turn."""
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    at, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= CHUNK:
+            yield at, i + 1
+            at, total = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def letter_pairs(texts: list[str], known: np.ndarray) -> np.ndarray:
+    """Counts of letter pairs (27 x 27) in the lines of some texts that are plain to read by their common words."""
+    counts = np.zeros((27, 27), np.int64)
+    for lo, hi in _chunks(texts):
+        s = line_statistics(texts[lo:hi], known)
+        counts += _pair_counts(texts[lo:hi], (_share(s["common_long"], s["words"]) >= 0.2) & (s["words"] >= 4))
+    return counts
+
+
+def fit(texts: list[str], common: list[str], pair_counts: np.ndarray | None = None, rounds: int = 2) -> LineModel:
+    """Trains the model on some texts: from the lines that are plain to see, then by labelling the others in turn.
+
+    pair_counts: `letter_pairs` of the whole corpus; of the texts themselves if not given.
+    """
     known = word_hashes(common)
     texts = texts or [""]
-    s = line_statistics(texts, known)
-    readable = (_share(s["common_long"], s["words"]) >= 0.2) & (s["words"] >= 4)
-    counts = _pair_counts(texts, readable) + 0.5
+    counts = (letter_pairs(texts, known) if pair_counts is None else pair_counts) + 0.5
     pairs = np.log(counts / counts.sum(1, keepdims=True))
     p = counts / counts.sum()
     mean = float((p * pairs).sum())
@@ -309,17 +332,6 @@ def fit(texts: list[str], common: list[str], rounds: int = 2) -> LineModel:
     return model
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= CHUNK:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 STATISTICS = ["n_words", "mean_word_length", "symbol_ratio", "line_stop_share", "common_word_share"]
 
 
@@ -367,16 +379,38 @@ def document_statistics(df: DataFrame, doc: str, text: str, common: list[str]) -
     return df.select(doc, text).mapInArrow(_describe(word_hashes(common), None), _schema(df, doc, False))
 
 
+def _corpus(known: np.ndarray):
+    """Of a task's texts: counts of letter pairs, and characters as pair -1."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, chars = np.zeros((27, 27), np.int64), 0
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            counts += letter_pairs(texts, known)
+            chars += sum(map(len, texts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 729)), pa.array(np.append(chars, counts.ravel()))], ["pair", "n"])
+
+    return count
+
+
 def fit_lines(df: DataFrame, text: str, common: list[str], sample_chars: int = 4_000_000) -> LineModel:
-    """Trains the line model on a sample of about `sample_chars` characters, or all texts if they are fewer.
+    """Trains the line model: letter pairs are counted over all texts, the kinds of lines are fitted on a sample.
 
-    The sample is drawn by a hash of the text, so it does not depend on how rows are stored. The bound is that of the
-    expected size; a single text is never cut.
+    The sample has at most 1.1 `sample_chars` characters of different texts, those of least hash, so it does not depend
+    on how rows are stored, and copies of a text count once. Texts are never cut; one of more than a tenth of
+    `sample_chars` is not drawn.
     """
-    total = df.agg(F.sum(F.length(text))).head()[0] or 0
+    counted = df.select(text).mapInArrow(_corpus(word_hashes(common)), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    of = {r["pair"]: r["n"] for r in counted.collect()}  # 730 rows
+    total = of.pop(-1, 0)
+    pairs = np.array([of.get(i, 0) for i in range(729)]).reshape(27, 27)
     part = min(1.0, sample_chars / max(total, 1))
-    sample = df.where(F.shiftrightunsigned(F.xxhash64(text), 32) < int(part * (1 << 32))).where(F.length(text) > 0).select(text)
-    return fit(sorted(r[0] for r in sample.collect()), common)
+    place = F.shiftrightunsigned(F.xxhash64(text), 32)
+    drawn = df.where((place < int(part * (1 << 32))) & F.length(text).between(1, sample_chars // 10)).select(text).distinct()
+    drawn = Scratch(df.sparkSession, "sample").write(drawn.select(F.col(text).alias("text"), place.alias("place")), "texts")
+    run = F.sum(F.length("text")).over(Window.orderBy("place", "text"))  # of the drawn texts only, about sample_chars characters
+    texts = drawn.withColumn("run", run).where(F.col("run") - F.length("text") <= sample_chars)
+    return fit([r["text"] for r in texts.orderBy("place", "text").select("text").collect()], common, pairs)
 
 
 def label_lines(df: DataFrame, doc: str, text: str, model: LineModel, common: list[str]) -> DataFrame:

@@ -208,3 +208,16 @@ def test_model_of_no_texts(spark):
     model = lines.fit([], COMMON)
     assert lines.label_lines(spark.createDataFrame([(1, "the end.")], "d long, t string"), "d", "t", model, COMMON).count() == 1
     assert lines.fit_lines(spark.createDataFrame([], "t string"), "t", COMMON) is not None
+
+
+def test_the_sample_is_bounded_whatever_the_copies(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lines, "fit", lambda texts, common, pairs=None: seen.append((texts, pairs)))
+    hot = "the mill was by the market and their"
+    df = spark.createDataFrame([(hot,)] * 3000 + [(f"the {i} of and was {i}",) for i in range(500)] + [(None,), ("",), ("y" * 900,)], "t string")
+    for parts in (1, 7):
+        lines.fit_lines(df.repartition(parts), "t", COMMON, 5000)
+    assert seen[0][0] == seen[1][0] and len(set(seen[0][0])) == len(seen[0][0])
+    assert sum(map(len, seen[0][0])) <= 5500 and (seen[0][1] == seen[1][1]).all()
+    once = lines.letter_pairs([hot], lines.word_hashes(COMMON))
+    assert (seen[0][1] >= 3000 * once).all() and once.sum() > 0
