@@ -95,12 +95,16 @@ TARGETS = {"big": Target(0.5, 1), "mid": Target(0.3, 2), "small": Target(0.2, 3)
 
 
 def test_allocation_keeps_shares_where_it_can():
-    got = allocate({"big": 1000, "mid": 400, "small": 100}, TARGETS, 0.01, 0.1)
+    got = allocate({"big": 1000, "mid": 400, "small": 100}, TARGETS)
     total = sum(got.values())
-    assert got["small"] <= 300 and abs(got["big"] / total - 0.5) < 0.01 and abs(got["small"] / total - 0.2) < 0.01
-    tiny = allocate({"big": 1000, "mid": 400, "small": 1}, TARGETS, 0.01, 0.5)
-    assert sum(tiny.values()) > 690 and tiny["small"] == 3
-    assert allocate({}, TARGETS, 0.01, 0.5) == {}
+    assert got["small"] <= 300 and abs(got["big"] / total - 0.5) < 0.001 and abs(got["small"] / total - 0.2) < 0.001
+    times = allocate({"big": 1e6, "mid": 4e5, "small": 1e5}, TARGETS)
+    assert all(times[s] == pytest.approx(1000 * n) for s, n in got.items())
+    tiny = allocate({"big": 1e6, "mid": 4e5, "small": 1}, {**TARGETS, "small": Target(0.02, 3)})
+    assert tiny["small"] == 3 and sum(tiny.values()) > 1e6 and tiny["big"] / tiny["mid"] == pytest.approx(5 / 3, rel=0.1)
+    asked = allocate({"big": 1000, "mid": 400, "small": 1}, TARGETS, total=700)
+    assert sum(asked.values()) > 550 and asked["small"] == 3
+    assert allocate({}, TARGETS) == {}
 
 
 def test_raking_reaches_margins_that_agree_and_keeps_bounds():
