@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from repeatloom.operators.order import numbered
 from repeatloom.session import Scratch, width
 
+#: Items and gaps that one range, which a task sweeps at once, has at most, about.
+RANGE_ROWS = 2_000_000
 _SWEPT = "part int, item bigint, size bigint, bin bigint, place bigint"
 
 
@@ -85,7 +88,6 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     to the shared folder; the driver sees counts per range only.
     """
     spark, work = items.sparkSession, Scratch(items.sparkSession, "packing")
-    parts = width(spark)
     free = work.write(items.select(F.col("item").cast("bigint").alias("item"), F.col("size").cast("bigint").alias("size")), "free0")
     open_bins, placed, bins, k = None, [], 0, 0
     n, total, largest, least = free.agg(F.count(F.lit(1)), F.sum("size"), F.max("size"), F.min("size")).head()
@@ -102,6 +104,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         both = free.select("size", F.lit(0).alias("is_gap"), F.col("item").alias("who"), F.xxhash64("item").alias("tie"))
         both = both.union(gaps.select("size", "is_gap", F.col("bin").alias("who"), F.xxhash64("bin", "i").alias("tie")))
         order = ["size", "is_gap", "tie"]
+        parts = width(spark, n + bins, RANGE_ROWS)  # a gap offers several places only where items are few to it
         swept = both.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("size", "is_gap", "who").mapInArrow(_sweep, _SWEPT)
         swept = work.write(swept, f"swept{k}")
         left = swept.where("place is not null").groupBy("part").agg(F.count("item").alias("items"), F.count("bin").alias("gaps")).collect()  # a row per range
@@ -114,13 +117,16 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         to = F.col("bin").isNotNull() & (F.col("part") == F.col("gap_part")) & F.col("place").between(F.col("first"), F.col("first") + F.col("n") - 1)
         given = loose.where("bin is not null").join(table, to).select("segment", (F.col("place") - F.col("first")).alias("rank"), F.col("bin").alias("to"))
         now = taken.select("item", "size", "segment", "rank").join(given, ["segment", "rank"], "left").select("item", "size", F.col("to").alias("bin"))
-        now = work.write(swept.where("place is null").select("item", "size", "bin").unionByName(now), f"round{k}")
+        rest, seen = F.when(F.col("bin").isNull(), F.col("size")), Observation()
+        now = swept.where("place is null").select("item", "size", "bin").unionByName(now)
+        now = now.observe(seen, F.count(rest).alias("n"), F.sum(rest).alias("total"), F.max(rest).alias("largest"), F.min(rest).alias("least"))
+        now = work.write(now, f"round{k}")
         placed.append(now.where("bin is not null"))
         shrink = placed[-1].groupBy("bin").agg(F.sum("size").alias("used"))
         gap = (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")
         free = now.where("bin is null").select("item", "size")
         before = n
-        n, total, largest, least = free.agg(F.count(F.lit(1)), F.sum("size"), F.max("size"), F.min("size")).head()
+        n, total, largest, least = (seen.get[c] for c in ("n", "total", "largest", "least"))
         if n:
             open_bins = work.write(open_bins.join(shrink, "bin", "left").select("bin", gap).where(F.col("gap") >= least), f"open{k}")
         few = before - n < 0.1 * before or n < 0.02 * every
@@ -140,11 +146,11 @@ def pack_documents(sizes: DataFrame, doc: str, capacity: int) -> DataFrame:
     A document of more than `capacity` tokens is split: full pieces, each a container of its own, and one for the rest;
     no other is. Containers are named p and a number, or f with row and piece for full pieces. A document without tokens
     takes no room and has a null container. Documents are rows: repeated rows are packed each for itself; null sizes
-    count as 0; other columns are not read.
+    count as 0; other columns are not read. The result does not depend on how rows are stored: rows are numbered in the
+    order of document and size, and ties between sizes are broken by a hash of that number.
     """
-    work = Scratch(sizes.sparkSession, "pieces")
     rows = sizes.select(F.col(doc).alias("doc"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    rows = work.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = numbered(rows, ["doc", "tokens"], position="row", keep=True)
     full = F.floor(F.col("tokens") / F.lit(capacity)).cast("bigint")
     rest = (F.col("tokens") - full * capacity).cast("bigint")
     pieces = full + (rest > 0).cast("int")

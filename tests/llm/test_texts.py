@@ -225,3 +225,10 @@ def test_the_sample_is_bounded_whatever_the_copies(spark, monkeypatch):
     assert sum(map(len, seen[0][0])) <= 5500 and (seen[0][1] == seen[1][1]).all()
     once = lines.letter_pairs([hot], lines.word_hashes(COMMON))
     assert (seen[0][1] >= 3000 * once).all() and once.sum() > 0
+
+
+def test_containers_do_not_depend_on_how_rows_are_stored(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.randrange(400), rng.randrange(120)) for _ in range(600)], "doc long, tokens long")
+    first, again = (sorted(map(tuple, pack_documents(df.repartition(n), "doc", 100).collect()), key=str) for n in (2, 7))
+    assert first == again
