@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm.components import linked_groups
-from repeatloom.llm.lines import document_statistics, fit_lines, label_lines
+from repeatloom.llm.lines import KINDS, document_statistics, fit_lines, label_lines
 from repeatloom.llm.mixing import Target, mix
 from repeatloom.llm.packing import pack_documents
 from repeatloom.llm.heavy import WHITE_SPACE, frequent_share, most_frequent, normalised
@@ -66,6 +66,17 @@ def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(sizes, "doc_id", CONTAINER_TOKENS)
 
 
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any packing: pages that came out, containers beyond capacity, pages split needlessly or in part."""
+    packed = p7_pack(spark, sf)
+    pages = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"))
+    pages = pages.agg(
+        F.count(F.lit(1)).alias("n_pages"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= CONTAINER_TOKENS)).alias("split_needlessly"), F.count_if(F.col("n") != F.col("pieces")).alias("incomplete")
+    )
+    held = packed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens")).agg(F.count_if(F.col("tokens") > CONTAINER_TOKENS).alias("over_capacity"))
+    return pages.join(held)  # a row each
+
+
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     # mix_targets and common_words are fixed tables
     targets = {r["source"]: Target(r["target_share"], r["max_repeats"]) for r in table(spark, sf, "mix_targets").collect()}
@@ -87,6 +98,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
+def p8_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any mix: by target, pages used too often or twice, and whether its share is that of its pages."""
+    chosen, shares = _mixed(spark, sf)
+    used = chosen.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
+    used = used.join(F.broadcast(shares.select("source", "max_repeats")), "source")  # a row per target
+    used = used.groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_repeats"), F.count_if(F.col("n") > 1).alias("twice"), F.sum("tokens").alias("tokens"))
+    same = F.coalesce("tokens", F.lit(0)) == F.col("selected_tokens")
+    return shares.join(used, "source", "left").select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("over_repeats", "twice")], same.alias("share_holds"))
+
+
 def _common_words(spark: SparkSession, sf: str) -> list[str]:
     return sorted({r[0] for r in table(spark, sf, "common_words").select("word").where("word is not null").collect()})  # a fixed table
 
@@ -100,6 +121,13 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_labels(spark, sf).where("kind <> 'prose'").select("doc_id", "kind")
 
 
+def p9_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any labels: a kind for each page with lines, and shares of kinds that add up."""
+    r = p9_labels(spark, sf)
+    whole = F.abs(sum(F.col(f"{k}_share") for k in KINDS) - 1) < 1e-9
+    return r.select("doc_id", "n_lines", F.col("kind").isNotNull().alias("labelled"), F.coalesce(whole, F.lit(True)).alias("adds_up"))
+
+
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     s = document_statistics(table(spark, sf, "documents", spread=True), "doc_id", "text", _common_words(spark, sf))
     return s.select(F.col("doc").alias("doc_id"), "n_lines", "n_words", *[F.round(c, 6).alias(c) for c in s.columns[3:]])
@@ -107,7 +135,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p3_found, p3_top_sequences, p4_found, p5_found, p5_best_record, p7_pack, p8_mix, p8_shares, p9_found, p9_labels, p9_statistics)
+    for f in (p1_found, p3_found, p3_top_sequences, p4_found, p5_found, p5_best_record, p7_pack, p7_check, p8_mix, p8_shares, p8_check, p9_found, p9_labels, p9_check, p9_statistics)
 }
 
 _SEQUENCES = f"select upper(trim(sequence, '{WHITE_SPACE}')) as sequence from reads"
@@ -155,6 +183,11 @@ x as (select family_id, record_id, u1::bigint + u2::bigint + u3::bigint + u4::bi
 k as (select *, row_number() over (partition by family_id
         order by n_usable desc, trust_rank nulls last, loaded_at desc nulls last, record_id desc) as k from x)
 select family_id, record_id, n_usable from k where k = 1""",
+    "p7_check": "select count(*) as n_pages, 0::bigint as split_needlessly, 0::bigint as incomplete, 0::bigint as over_capacity from documents",
+    "p8_check": "select source, 0::bigint as over_repeats, 0::bigint as twice, true as share_holds from mix_targets",
+    "p9_check": r"""
+with d as (select doc_id, len(list_filter(split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f\v]'))) as n_lines from documents)
+select doc_id, n_lines, n_lines > 0 as labelled, true as adds_up from d""",
     "p9_statistics": r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 c as (select list(distinct lower(word)) as c from common_words),
