@@ -46,16 +46,16 @@ def merge_sorted(new_key: np.ndarray, start: np.ndarray, end: np.ndarray, gap: i
 
 def _combine(gap: int):
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's rows as partial lists of disjoint intervals, sorted by key and start, with the number of rows in each."""
+        """A task's rows as partial lists of disjoint intervals, sorted by key and start, with the hits in each."""
 
         def flush(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(kept).combine_chunks()
             t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in t.column_names[:3]]))
-            a, b, s, e = (t.column(i).combine_chunks() for i in range(4))
+            a, b, s, e, n = (t.column(i).combine_chunks() for i in range(5))
             at, reach = merge_sorted(_changes(a, b), s.to_numpy(), e.to_numpy(), gap)
             i = pa.array(at)
-            hits = pa.array(np.diff(np.append(at, len(a))))
-            return pa.RecordBatch.from_arrays([a.take(i), b.take(i), s.take(i), pa.array(reach), hits], [*t.column_names, "hits"])
+            hits = pa.array(np.add.reduceat(n.to_numpy(), at))
+            return pa.RecordBatch.from_arrays([a.take(i), b.take(i), s.take(i), pa.array(reach), hits], t.column_names)
 
         kept, n = [], 0
         for b in batches:
@@ -103,25 +103,25 @@ def _disjoint(gap: int):
     return disjoint
 
 
-def _merged(df: DataFrame, key: tuple[str, str], start: str, end: str, gap: int, keep: bool = False) -> DataFrame:
+def _merged(df: DataFrame, key: tuple[str, str], start: str, end: str, gap: int, hits: str | None = None) -> DataFrame:
     """Disjoint intervals of each key: (k1, k2, s, e, hits, before), `before` the end of the one before in its key.
 
-    Tasks build partial lists of the rows they read; these are range-partitioned by key and start, so that a large key
-    spreads over many ranges; each range merges its lists in one pass as a stream. The root of the tree merges ranges:
+    Tasks build partial lists of the rows they read, which are written, so that rows are read or made only once. Lists are
+    range-partitioned by key and start, in as many ranges as their size asks for, so that a large key spreads over many
+    ranges; each range merges its lists in one pass as a stream. The root of the tree merges ranges:
     ends that reach over a range's border are carried along the ranges of a key, which takes one row per range of a key
-    that lies in several (never more than two per range). With keep, the partial lists are written first, so that rows
-    that are costly to make are not made again for the sample of the range partitioning.
+    that lies in several (never more than two per range). hits: a column that says for how many hits
+    a row stands, one if not given.
     """
     k1, k2 = key
     work = Scratch(df.sparkSession, "intervals")
-    valid = df.select(F.col(k1).cast("string").alias("k1"), F.col(k2).cast("string").alias("k2"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where(
+    valid = df.select(F.col(k1).cast("string").alias("k1"), F.col(k2).cast("string").alias("k2"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), (F.col(hits) if hits else F.lit(1)).cast("long").alias("hits")).where(
         "k1 is not null and k2 is not null and s >= 0 and e > s"
     )
-    lists = valid.mapInArrow(_combine(gap), "k1 string, k2 string, s bigint, e bigint, hits bigint")
-    if keep:
-        lists = work.write(lists, "lists")
-    ranges = lists.repartitionByRange(width(df.sparkSession), "k1", "k2", "s").sortWithinPartitions("k1", "k2", "s")
+    lists = work.write(valid.mapInArrow(_combine(gap), "k1 string, k2 string, s bigint, e bigint, hits bigint"), "lists")
+    ranges = lists.repartitionByRange(width(df.sparkSession, work.size("lists")), "k1", "k2", "s").sortWithinPartitions("k1", "k2", "s")
     parts = work.write(ranges.mapInArrow(_disjoint(gap), "part int, k1 string, k2 string, s bigint, e bigint, hits bigint, before bigint"), "parts")
+    work.drop("lists")
 
     # keys that lie in several ranges: the first or last key of more than one
     k = F.struct("k1", "k2")
@@ -161,13 +161,13 @@ def periods_and_gaps(df: DataFrame, key: tuple[str, str], start: str, end: str)
     return rows.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), "r.kind", F.col("r.s").alias(start), F.col("r.e").alias(end))
 
 
-def merge_intervals(df: DataFrame, key: tuple[str, str], start: str, end: str, max_gap: int = 0, keep: bool = False) -> DataFrame:
+def merge_intervals(df: DataFrame, key: tuple[str, str], start: str, end: str, max_gap: int = 0, hits: str | None = None) -> DataFrame:
     """Intervals of each key merged where they are at most `max_gap` apart: (both key columns, start, end, hit_count).
 
-    hit_count is the number of rows merged. Rows that are not valid do not count, as in `periods_and_gaps`. keep: for
-    rows that are costly to make, see `_merged`.
+    hit_count is the number of rows merged, or of the hits they stand for. Rows that are not valid do not count, as in
+    `periods_and_gaps`.
     """
-    m = _merged(df, key, start, end, max_gap, keep)
+    m = _merged(df, key, start, end, max_gap, hits)
     return m.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]), F.col("s").alias(start), F.col("e").alias(end), F.col("hits").alias("hit_count"))
 
 

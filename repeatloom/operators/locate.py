@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.functions import kernels
+from repeatloom.operators import quantify
 from repeatloom.operators.intervals import merge_intervals
-from repeatloom.operators.quantify import monomer_kmers, sent_targets
+from repeatloom.operators.quantify import Targets, monomer_kmers, sent_targets
 
 #: Bases of a contig that one row holds; longer contigs are cut into overlapping rows.
 CHUNK = 1 << 20
+#: Hits of families that are merged at once.
+EXPANDED = 1 << 22
 COLLAPSE, OVEREXPANSION = 0.6, 1.5
 
 
@@ -26,15 +30,14 @@ def chunks(contigs: DataFrame, k: int) -> DataFrame:
     return at.select(F.col("chrom").cast("string"), F.col("offset").cast("bigint"), F.upper(piece).alias("sequence"))
 
 
-def _hits(k: int, targets: np.ndarray | None):
+def _hits(k: int, targets: Targets):
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes, at = kernels.encode(b.column(2))
             where, forward, back = kernels.kmers(codes, at, k)
             seed = np.minimum(forward, back)
-            if targets is not None:
-                keep = kernels.member(seed, targets)
-                where, seed = where[keep], seed[keep]
+            keep = targets.among(seed)
+            where, seed = where[keep], seed[keep]
             row = np.searchsorted(at, where, side="right") - 1
             start = where - at[row] + b.column(1).to_numpy()[row]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(start), pa.array(seed)], ["chrom", "start_bp", "kmer"])
@@ -42,10 +45,72 @@ def _hits(k: int, targets: np.ndarray | None):
     return hits
 
 
-def kmer_hits(contigs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
-    """Places of contigs (chrom, sequence) where a k-mer of `kmers` (kmer and other columns) stands, with those columns."""
+@dataclass(frozen=True)
+class Owners:
+    """k-mers (sorted) and their families: those of k-mer i are family[first[i] : first[i + 1]], numbers of names."""
+
+    codes: np.ndarray
+    first: np.ndarray
+    family: np.ndarray
+    names: pa.Array
+
+
+def _sent_owners(kmers: DataFrame) -> Owners | None:
+    """The families of k-mers (family_id, kmer) for tasks, or null if there are more than SENT_KMERS of such pairs."""
+    t = kmers.select("family_id", "kmer").limit(quantify.SENT_KMERS + 1).toArrow()  # at most SENT_KMERS + 1 rows
+    if t.num_rows > quantify.SENT_KMERS:
+        return None
+    of = t.column(0).combine_chunks().dictionary_encode()
+    code, family = t.column(1).to_numpy().astype(np.int64), of.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    codes, n = np.unique(code, return_counts=True)
+    return Owners(codes, np.append(0, np.cumsum(n)), family[order], of.dictionary)
+
+
+def _merged_hits(k: int, gap: int, owners: Owners):
+    """Hits of a piece of a contig as intervals of each family, with the number of hits."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, at = kernels.encode(b.column(2))
+            where, forward, back = kernels.kmers(codes, at, k)
+            seed = np.minimum(forward, back)
+            keep = kernels.member(seed, owners.codes)
+            where, place = where[keep], np.searchsorted(owners.codes, seed[keep])
+            n = owners.first[place + 1] - owners.first[place]
+            done = np.append(0, np.cumsum(n))
+            lo = 0
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(done, done[lo] + EXPANDED, side="right")) - 1)
+                own = np.repeat(np.arange(lo, hi), n[lo:hi])
+                family = owners.family[owners.first[place[own]] + np.arange(len(own)) - (done[own] - done[lo])]
+                row = np.searchsorted(at, where[own], side="right") - 1
+                start = where[own] - at[row] + b.column(1).to_numpy()[row]
+                order = np.lexsort((start, family, row))
+                family, row, start = family[order], row[order], start[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (family[1:] != family[:-1]) | (start[1:] > start[:-1] + k + gap))
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(start)) - 1
+                columns = [b.column(0).take(pa.array(row[first])), owners.names.take(pa.array(family[first])), pa.array(start[first]), pa.array(start[last] + k), pa.array(last - first + 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["chrom", "family_id", "start_bp", "end_bp", "hits"])
+                lo = hi
+
+    return merged
+
+
+def kmer_arrays(contigs: DataFrame, kmers: DataFrame, k: int, gap: int) -> DataFrame:
+    """Stretches of contigs (chrom, sequence) with k-mers of each family (family_id, kmer) at most `gap` apart.
+
+    Result: (chrom, family_id, start_bp, end_bp, hit_count). Where the pairs of k-mer and family are few enough to be sent
+    to all tasks, hits are merged where they are found; else they meet their families in a join.
+    """
+    owners = _sent_owners(kmers)
+    if owners is not None:
+        found = chunks(contigs, k).mapInArrow(_merged_hits(k, gap, owners), "chrom string, family_id string, start_bp bigint, end_bp bigint, hits bigint")
+        return merge_intervals(found, ("chrom", "family_id"), "start_bp", "end_bp", gap, "hits")
     found = chunks(contigs, k).mapInArrow(_hits(k, sent_targets(kmers)), "chrom string, start_bp bigint, kmer bigint")
-    return found.join(kmers, "kmer").withColumn("end_bp", F.col("start_bp") + k).drop("kmer")
+    found = found.join(kmers.select("family_id", "kmer"), "kmer").withColumn("end_bp", F.col("start_bp") + k)
+    return merge_intervals(found, ("chrom", "family_id"), "start_bp", "end_bp", gap)
 
 
 def locate_arrays(contigs: DataFrame, catalog: DataFrame, k: int = 21) -> DataFrame:
@@ -55,7 +120,7 @@ def locate_arrays(contigs: DataFrame, catalog: DataFrame, k: int = 21) -> DataFr
     share of its k-mers that hit, in thousandths; 500 is high confidence.
     """
     own = monomer_kmers(catalog, k).where("not low").select("family_id", "kmer")
-    merged = merge_intervals(kmer_hits(contigs, own, k), ("chrom", "family_id"), "start_bp", "end_bp", 2 * k, keep=True)
+    merged = kmer_arrays(contigs, own, k, 2 * k)
     half = F.floor(F.length(F.replace("sequence", F.lit("N"), F.lit(""))) / 2)
     sized = merged.join(catalog.select(F.col("family_id").cast("string"), F.greatest(half, F.lit(2 * k)).alias("least")), "family_id")
     span = F.col("end_bp") - F.col("start_bp")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.functions import dna
-from repeatloom.operators.intervals import merge_intervals, overlap_semi_join
-from repeatloom.operators.locate import kmer_hits
+from repeatloom.operators.intervals import overlap_semi_join
+from repeatloom.operators.locate import kmer_arrays
 from repeatloom.operators.order import numbered
 from repeatloom.operators.quantify import monomer_kmers
 
@@ -45,7 +45,7 @@ def probe_regions(probes: DataFrame, contigs: DataFrame) -> DataFrame:
     for k in sorted(r[0] for r in sized.select("k").distinct().collect()):  # at most 14
         own = monomer_kmers(sized.where(F.col("k") == k).select(F.col("probe_id").alias("family_id"), "sequence"), k).where("not low")
         least = own.groupBy("family_id").agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) / 10)).alias("least"))
-        merged = merge_intervals(kmer_hits(contigs, own.select("family_id", "kmer"), k), ("chrom", "family_id"), "start_bp", "end_bp", 2 * k, keep=True)
+        merged = kmer_arrays(contigs, own, k, 2 * k)
         out.append(merged.join(least, "family_id").where("hit_count >= least").select(F.col("family_id").alias("probe_id"), "chrom", "start_bp", "end_bp"))
     if not out:
         return probes.sparkSession.createDataFrame([], "probe_id string, chrom string, start_bp bigint, end_bp bigint")

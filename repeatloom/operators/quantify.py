@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,26 +12,55 @@ from pyspark.sql import functions as F
 
 from repeatloom.functions import kernels
 
-#: Target k-mers that are sent to every task at most (8 bytes each); more are joined after a shuffle.
-SENT_KMERS = 2_000_000
+#: Target k-mers that are sent to every task at most (8 bytes each); of more a bitmap of hashes (2 to the FILTER_BITS bits)
+#: is sent, and what it lets through is joined after a shuffle.
+SENT_KMERS, FILTER_BITS = 2_000_000, 28
+_ODD = 0x9E3779B97F4A7C15
 
 
-def _counts(k: int, targets: np.ndarray | None):
+@dataclass(frozen=True)
+class Targets:
+    """k-mers that a scan looks for: all of them, sorted, or a bitmap that others may pass as well."""
+
+    codes: np.ndarray | None = None
+    words: np.ndarray | None = None
+
+    def among(self, seed: np.ndarray) -> np.ndarray:
+        if self.codes is not None:
+            return kernels.member(seed, self.codes)
+        place = _place(seed)
+        return (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _place(seed: np.ndarray) -> np.ndarray:
+    return (seed.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(64 - FILTER_BITS)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        place = np.unique(_place(b.column(0).to_numpy()))
+        word, first = np.unique(place >> np.uint64(6), return_index=True)
+        bit = np.left_shift(np.uint64(1), place & np.uint64(63))
+        mask = np.bitwise_or.reduceat(bit, first) if len(bit) else bit
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+
+def _counts(k: int, targets: Targets | None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes, at = kernels.encode(b.column(0))
             _, forward, back = kernels.kmers(codes, at, k)
             seed = np.minimum(forward, back)
             if targets is not None:
-                seed = seed[kernels.member(seed, targets)]
+                seed = seed[targets.among(seed)]
             code, n = np.unique(seed, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["kmer", "n"])
 
     return count
 
 
-def kmer_counts(sequences: DataFrame, sequence: str, k: int, targets: np.ndarray | None = None) -> DataFrame:
-    """How often each canonical k-mer occurs: (kmer, n); of `targets` only, if given. Windows with unknown bases do not count.
+def kmer_counts(sequences: DataFrame, sequence: str, k: int, targets: Targets | None = None) -> DataFrame:
+    """How often each canonical k-mer occurs: (kmer, n); of `targets` (and others that pass its bitmap) only, if given. Windows with unknown bases do not count.
 
     Counts of a batch are combined in it, then by Spark before and after the shuffle.
     """
@@ -70,11 +100,16 @@ def diagnostic_kmers(catalog: DataFrame, k: int) -> DataFrame:
     return single.where("families = 1 and not low").select("family_id", "kmer", "multiplicity")
 
 
-def sent_targets(kmers: DataFrame) -> np.ndarray | None:
-    """Different k-mers as an array for tasks, or null if they are more than SENT_KMERS."""
-    some = kmers.select("kmer").distinct().limit(SENT_KMERS + 1)
-    codes = np.array([r[0] for r in some.collect()], np.int64)  # at most SENT_KMERS + 1 numbers
-    return np.sort(codes) if len(codes) <= SENT_KMERS else None
+def sent_targets(kmers: DataFrame) -> Targets:
+    """Different k-mers as what tasks look for: themselves, or their bitmap if they are more than SENT_KMERS."""
+    some = kmers.select("kmer").distinct().limit(SENT_KMERS + 1).toArrow()  # at most SENT_KMERS + 1 numbers
+    if some.num_rows <= SENT_KMERS:
+        return Targets(codes=np.sort(some.column(0).to_numpy().astype(np.int64)))
+    bits = kmers.select("kmer").mapInArrow(_bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    bits = bits.toArrow()  # at most a row for each 64 bits of the bitmap
+    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    words[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
+    return Targets(words=words.view(np.uint64))
 
 
 def copy_number(reads: DataFrame, catalog: DataFrame, k: int = 21, genome_size: float | None = None, haploid_depth: float | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from repeatloom.operators.order import numbered
 from repeatloom.operators.records import bad_records, parse_records, valid_arrays, valid_reads
 from repeatloom.session import Scratch, table
 
-MONOMERS, K = 40, 21
+K = 21
 GENOME_SIZE = 1_000_000.0
 WINDOW, STEP = 100_000, 10_000
 HIT_GAP = 1000
@@ -26,14 +26,6 @@ def _reads(spark: SparkSession, sf: str) -> DataFrame:
     return reads.clean(table(spark, sf, "reads", spread=True))
 
 
-def _frequent(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
-    """The most frequent sequences of known bases, as a catalog (family_id, sequence): ranks `first` to `last`."""
-    known = _reads(spark, sf).where(F.col("sequence").rlike("^[ACGT]+$")).groupBy("sequence").agg(F.count(F.lit(1)).alias("n"))
-    top = known.orderBy(F.desc("n"), "sequence").limit(last)
-    rows = [(i, r["sequence"]) for i, r in enumerate(top.collect(), 1) if i >= first]  # at most `last`
-    return spark.createDataFrame([(f"TXF{i:06d}", s) for i, s in rows], "family_id string, sequence string").coalesce(1)
-
-
 def _supported(spark: SparkSession, sf: str) -> DataFrame:
     """Every sequence of known bases with the reads that a family needs, by rank, as a catalog (family_id, sequence)."""
     known = _reads(spark, sf).where(F.col("sequence").rlike("^[ACGT]+$")).groupBy("sequence").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +35,7 @@ def _supported(spark: SparkSession, sf: str) -> DataFrame:
 
 def _library(spark: SparkSession, sf: str) -> DataFrame:
     """The known repeats (known_id, known_sequence): monomers of all families discovered; kept, as they are costly to make."""
-    found = discover_families(spark, sf).select(F.col("monomer_id").alias("known_id"), F.col("monomer_sequence").alias("known_sequence"))
+    found = _families(spark, sf).select(F.col("monomer_id").alias("known_id"), F.col("monomer_sequence").alias("known_sequence"))
     return Scratch(spark, "library").write(found, "known")
 
 
@@ -133,43 +125,29 @@ def short_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discover_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.with_candidate_ids(discover.candidate_reads(table(spark, sf, "reads", spread=True), DISCOVER))
+    return _rounded(discover.with_candidate_ids(discover.candidate_reads(table(spark, sf, "reads", spread=True), DISCOVER)), "score", "unit_count")
 
 
-def discover_families(spark: SparkSession, sf: str) -> DataFrame:
+def _families(spark: SparkSession, sf: str) -> DataFrame:
     return discover.families(discover.candidate_reads(table(spark, sf, "reads", spread=True), DISCOVER), DISCOVER)
 
 
-def discover_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return discover.family_similarity(_supported(spark, sf).withColumnRenamed("sequence", "monomer_sequence"))
+def discover_families(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_families(spark, sf), "mean_identity", "gc_fraction")
 
 
-def _copy_number(spark: SparkSession, sf: str, monomers: DataFrame) -> DataFrame:
-    out = quantify.copy_number(_reads(spark, sf), monomers, K, genome_size=GENOME_SIZE)
-    return _rounded(out, "median_kmer_depth", "haploid_depth", "estimated_copy_number", "estimated_bp")
+def discover_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return discover.family_similarity(_supported(spark, sf).withColumnRenamed("sequence", "monomer_sequence"))
 
 
 def copy_number(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the MONOMERS most frequent sequences only, as in its SQL; `copy_number_all` has the whole catalog."""
-    return _copy_number(spark, sf, _frequent(spark, sf, 1, MONOMERS))
-
-
-def copy_number_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _copy_number(spark, sf, _supported(spark, sf))
-
-
-def _locate_arrays(spark: SparkSession, sf: str, monomers: DataFrame) -> DataFrame:
-    contigs = _reads(spark, sf).select(F.concat("file_idx", F.lit(":"), "rec_idx").alias("chrom"), "sequence")
-    return locate.locate_arrays(contigs, monomers, K)
+    out = quantify.copy_number(_reads(spark, sf), _supported(spark, sf), K, genome_size=GENOME_SIZE)
+    return _rounded(out, "median_kmer_depth", "haploid_depth", "estimated_copy_number", "estimated_bp")
 
 
 def locate_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the MONOMERS most frequent sequences only, as in its SQL; `locate_arrays_all` has the whole catalog."""
-    return _locate_arrays(spark, sf, _frequent(spark, sf, 1, MONOMERS))
-
-
-def locate_arrays_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _locate_arrays(spark, sf, _supported(spark, sf))
+    contigs = _reads(spark, sf).select(F.concat("file_idx", F.lit(":"), "rec_idx").alias("chrom"), "sequence")
+    return locate.locate_arrays(contigs, _supported(spark, sf), K)
 
 
 def merged_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,17 +259,11 @@ def failed_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def known_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Of ranks 1 to 40 and 41 to 80 only, as in its SQL; `known_matches_all` has the whole catalog and library."""
-    known = _frequent(spark, sf, MONOMERS + 1, 2 * MONOMERS).select(F.col("family_id").alias("known_id"), F.col("sequence").alias("known_sequence"))
-    return _rounded(annotate.known_matches(_frequent(spark, sf, 1, MONOMERS), known), "similarity_score", "shared_kmer_fraction")
-
-
-def known_matches_all(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(annotate.known_matches(_supported(spark, sf), _library(spark, sf)), "similarity_score", "shared_kmer_fraction")
 
 
 def annotate_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return annotate.annotate_repeats(_supported(spark, sf), _library(spark, sf))
+    return _rounded(annotate.annotate_repeats(_supported(spark, sf), _library(spark, sf)), *[c for c in annotate.NUMBERS if c != "local_overlap_bp"])
 
 
 QUERIES = {
@@ -302,6 +274,5 @@ QUERIES = {
         discover_similarity, copy_number, locate_arrays, merged_hits, window_density, assembly_vs_reads, probe_ranking, fish_signals, probes_on_target,
         best_probe_scores, pair_classes, redundancy_warnings, collapse_families, catalog_summary, label_counts, warning_counts, length_histogram, top_families,
         label_pairs, flag_accuracy, nearest_lengths, run_differences, run_aggregate, failed_checks, known_matches, annotate_repeats,
-        copy_number_all, locate_arrays_all, known_matches_all,
     )
 }

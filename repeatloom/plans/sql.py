@@ -34,6 +34,87 @@ _HITS = "h as (select * from array_hits where start_bp >= 0 and end_bp > start_b
 _REGIONS = r"""g as (select distinct probe_id, family_id, regexp_extract(x, '^(.*):([0-9]+)-([0-9]+)$', 1) as chrom, regexp_extract(x, '^(.*):([0-9]+)-([0-9]+)$', 2)::bigint as start_bp,
         regexp_extract(x, '^(.*):([0-9]+)-([0-9]+)$', 3)::bigint as end_bp from (select probe_id, family_id, unnest(split(predicted_regions, ';')) as x from probes where predicted_regions <> '') where regexp_matches(x, '^(.*):([0-9]+)-([0-9]+)$'))"""
 
+
+#: The supported sequences as a catalog: every sequence of known bases with five reads, by rank.
+_CATALOG = _TOP.replace("select row_number()", "select n, row_number()") + ", m as (select format('TXF{:06d}', i) as family_id, s from c where n >= 5)"
+_SEEDS = f"""w as (select file_idx, rec_idx, length(s) as len, i - 1 as pos, substr(s, i::int, 11) as k
+        from (select *, unnest(range(1, length(s) - 9)) as i from r where length(s) >= 11)),
+v as (select file_idx, rec_idx, len, pos, least(k, {_RC.format("k")}) as k from w
+        where regexp_full_match(k, '[ACGT]+') and {_MOST.format("k")} < 9
+        and contains(k, 'A')::int + contains(k, 'C')::int + contains(k, 'G')::int + contains(k, 'T')::int > 2),
+o as (select *, row_number() over (partition by file_idx, rec_idx, k order by pos) as j from v),
+p as (select a.file_idx, a.rec_idx, a.len, a.k, b.pos - a.pos as d, row_number() over (partition by a.file_idx, a.rec_idx, a.k order by b.j - a.j, a.j) as seen
+        from o a join o b on a.file_idx = b.file_idx and a.rec_idx = b.rec_idx and a.k = b.k and a.j < b.j where a.j <= 101 and b.j <= 101),
+t as (select *, row_number() over (partition by file_idx, rec_idx, k order by seen) as taken from p where seen <= 2000 and d between 2 and least(2000, len // 2)),
+h as (select file_idx, rec_idx, least(least(2000, len // 2), greatest(2, (d + 2) // 5 * 5)) as period_bp, count(*) as support from t where taken <= 100 group by all),
+x as (select *, row_number() over (partition by file_idx, rec_idx order by support desc, period_bp) as peak from h where support >= 2)"""
+
+
+def _same(table: str) -> str:
+    """Identity of sequences with themselves shifted by p, from rows (file_idx, rec_idx, s, p); bases other than ACGT do not count."""
+    return f"""select file_idx, rec_idx, p, case when known > 0 then equal::double / known else 0 end as v from (
+        select file_idx, rec_idx, p, length(x) - hamming(x, replace(y, 'N', '#')) as equal,
+            length(x) - hamming(regexp_replace(x, '[^N]', 'A', 'g'), replace(regexp_replace(y, '[^N]', 'A', 'g'), 'N', '#')) as known
+        from (select file_idx, rec_idx, p, substr(n, 1, (length(n) - p)::int) as x, substr(n, (p + 1)::int) as y
+            from (select file_idx, rec_idx, p, regexp_replace(s, '[^ACGT]', 'N', 'g') as n from {table})))"""
+
+
+_SCAN = f"""{_READS}, {_SEEDS},
+z as (select file_idx, rec_idx, s, length(s) as len from r where length(s) >= 40),
+z1 as (select file_idx, rec_idx, s, unnest(range(2, least(19, len // 2) + 1)) as p from z),
+z2 as ({_same("z1")}),
+z3 as (select *, row_number() over (partition by file_idx, rec_idx order by v desc, p) as b from z2 where v > 0),
+short as (select file_idx, rec_idx, p, v as score from z3 where b = 1 and v >= 0.8::double),
+z4 as (select distinct file_idx, rec_idx, z.s, z.len, period_bp + d as p from z join x using (file_idx, rec_idx), unnest(range(-2, 3)) as u(d)
+        where not exists (select 1 from short where short.file_idx = z.file_idx and short.rec_idx = z.rec_idx) and peak <= 5 and period_bp + d between 2 and least(2000, z.len // 2)),
+z5 as ({_same("z4")}),
+g as (select file_idx, rec_idx, k, list(pos order by pos) as spots, count(*) as n from o where j <= 101 group by all having count(*) >= 2),
+g1 as (select *, row_number() over (partition by file_idx, rec_idx order by n desc, k) as place from g),
+g2 as (select z5.file_idx, z5.rec_idx, p, k, v, n, list_transform(spots, lambda y: y % p) as q from z5 join g1 using (file_idx, rec_idx)
+        where place <= 128 and v >= (0.75::double - 0.2::double) / 0.8::double),
+g3 as (select file_idx, rec_idx, p, v, n, case when p <= 5 then n else list_max(list_transform(q, lambda y: len(list_filter(q, lambda y2: abs(y2 - y) <= 2)) + len(list_filter(q, lambda y2: y2 >= y + p - 2)))) end as held from g2),
+g4 as (select file_idx, rec_idx, p, 0.2::double * (sum(held)::double / sum(n)::double) + 0.8::double * any_value(v) as score from g3 group by all),
+g5 as (select *, row_number() over (partition by file_idx, rec_idx order by score desc, p) as b from g4),
+every as (select file_idx, rec_idx, p, score from short union all select file_idx, rec_idx, p, score from g5 where b = 1 and score >= 0.75::double),
+found as (select *, n <= 2 or {_MOST.format("monomer")} / n::double >= 0.8 or (n >= 4 and n % 2 = 0 and monomer = repeat(substr(monomer, 1, 2), (n // 2)::int)) as low
+        from (select e.*, r.id, r.s, coalesce(r.description, '') as d, substr(r.s, 1, p::int) as monomer, length(substr(r.s, 1, p::int)) as n, length(r.s) as span from every e join r using (file_idx, rec_idx)))"""
+
+_FAMILIES = f"""{_SCAN},
+y0 as (select p, count(*) as n, row_number() over (order by p) as i from found group by p),
+y1(i, p, cluster, total, n) as (select i, p, 0, p * n, n from y0 where i = 1
+    union all select i, p, case when near then cluster else cluster + 1 end, case when near then total + p * n else p * n end, case when near then held + n else n end
+    from (select y0.i, y0.p, y0.n, cluster, total, y1.n as held,
+        abs(y0.p - round_even(total::double / y1.n, 0)) <= case when least(y0.p, round_even(total::double / y1.n, 0)) <= 19 then 0 else 5 end as near
+        from y1 join y0 on y0.i = y1.i + 1)),
+y2 as (select found.*, cluster, row_number() over (partition by cluster order by score desc, span desc, found.p, file_idx, rec_idx) as b from found join y1 using (p)),
+y3 as (select cluster, count(distinct id) as support, sum(span)::bigint as span, avg(score) as score, bool_or(low) as low, round_even(avg(p), 0) as centre,
+        max(case when b = 1 then monomer end) as monomer, max(case when b = 1 then p end) as p from y2 group by cluster having count(distinct id) >= 5),
+fam as (select *, row_number() over (order by support desc, centre, cluster) as i, least(monomer, {_RC.format("monomer")}) as s from y3)"""
+
+
+def _best_shift(pairs: str) -> str:
+    """Best identity without gaps of x and y over all offsets with enough overlap, of rows (a, b, turn, x, y); none gives zeros."""
+    return f"""select a, b, turn, case when share > 0 then share else 0 end as identity, case when share > 0 then n else 0 end as overlap from (
+        select a, b, turn, share, n, row_number() over (partition by a, b, turn order by share desc, n desc, d) as place from (
+            select a, b, turn, d, n, (n - hamming(substr(x, (greatest(0, d) + 1)::int, n::int), substr(y, (greatest(0, -d) + 1)::int, n::int)))::double / n as share from (
+                select *, least(length(x) - greatest(0, d), length(y) - greatest(0, -d)) as n from (select *, unnest(range(1 - length(y), length(x))) as d from {pairs}))
+            where n >= least(50, length(x), length(y)))) where place = 1"""
+
+
+def _kmers(sequence: str, k: str) -> str:
+    return f"list_distinct(list_filter(list_transform(range(1, (length({sequence}) - {k} + 2)::bigint), lambda j: substr({sequence}, j::int, ({k})::int)), lambda y: not contains(y, 'N')))"
+
+
+#: Every sequence of the catalog with every monomer of the discovered families, in both orientations.
+_MATCHES = f"""{_FAMILIES}, {_CATALOG},
+q as (select format('TXM{{:06d}}', i) as known_id, s from fam),
+q1 as (select family_id as a, known_id as b, turn, m.s as x, case when turn = 1 then {_RC.format("q.s")} else q.s end as y from m, q, (values (0), (1)) as t(turn)),
+q2 as (select *, least(11, length(x), length(y)) as k from q1),
+q3 as (select *, {_kmers("x", "k")} as kx, {_kmers("y", "k")} as ky from q2),
+q4 as (select a, b, turn, x, y, len(list_intersect(kx, ky)) as shared, len(kx) as nx, len(ky) as ny from q3),
+q5 as (select *, case when shared > 0 then 2.0::double * shared / (nx + ny) else 0 end as dice, case when shared > 0 then shared::double / nx else 0 end as in_x, case when shared > 0 then shared::double / ny else 0 end as in_y,
+        case when shared > 0 then shared::double / least(nx, ny) else 0 end as share, case when shared > 0 then shared::double / (nx + ny - shared) else 0 end as jaccard from q4)"""
+
 SQL = {
     "p2_found": """
 with v as (select distinct chrom, family_id, start_bp as s, end_bp as e from array_hits
@@ -92,18 +173,38 @@ with {_READS}, k as (select substr(s, i::int, 21) as k from (select s, unnest(ra
 c as (select least(k, {_RC.format("k")}) as kmer, count(*) as n from k where regexp_full_match(k, '[ACGT]+') group by 1)
 select n as multiplicity, count(*) as kmers from c group by n""",
     "spacing_peaks": f"""
-with {_READS}, w as (select file_idx, rec_idx, length(s) as len, i - 1 as pos, substr(s, i::int, 11) as k
-        from (select *, unnest(range(1, length(s) - 9)) as i from r where length(s) >= 11)),
-v as (select file_idx, rec_idx, len, pos, least(k, {_RC.format("k")}) as k from w
-        where regexp_full_match(k, '[ACGT]+') and {_MOST.format("k")} < 9
-        and contains(k, 'A')::int + contains(k, 'C')::int + contains(k, 'G')::int + contains(k, 'T')::int > 2),
-o as (select *, row_number() over (partition by file_idx, rec_idx, k order by pos) as j from v),
-p as (select a.file_idx, a.rec_idx, a.len, a.k, b.pos - a.pos as d, row_number() over (partition by a.file_idx, a.rec_idx, a.k order by b.j - a.j, a.j) as seen
-        from o a join o b on a.file_idx = b.file_idx and a.rec_idx = b.rec_idx and a.k = b.k and a.j < b.j where a.j <= 101 and b.j <= 101),
-t as (select *, row_number() over (partition by file_idx, rec_idx, k order by seen) as taken from p where seen <= 2000 and d between 2 and least(2000, len // 2)),
-h as (select file_idx, rec_idx, least(least(2000, len // 2), greatest(2, (d + 2) // 5 * 5)) as period_bp, count(*) as support from t where taken <= 100 group by all),
-x as (select *, row_number() over (partition by file_idx, rec_idx order by support desc, period_bp) as peak from h where support >= 2)
+with {_READS}, {_SEEDS}
 select file_idx, rec_idx, period_bp, support, peak from x where peak <= 5""",
+    "discover_candidates": f"""
+with {_SCAN}
+select file_idx, rec_idx, id as read_id, 0::bigint as read_start, span as read_end,
+    case when regexp_extract(';' || d, ';strand=([^;]*)', 1) in ('+', '-') then regexp_extract(';' || d, ';strand=([^;]*)', 1) else '.' end as strand,
+    p as period_bp, span as repeat_span_bp, round(span::double / p, 6) as unit_count, round(score, 6) as score, low as low_complexity_flag,
+    case when score >= 0.9 and not low then 'high' else 'medium' end as confidence,
+    concat_ws(';', case when low then 'low_complexity_candidate' end, case when p <= 19 then 'short_period_candidate' end) as warning, monomer,
+    format('TXC{{:06d}}', row_number() over (order by file_idx, rec_idx)) as candidate_id from found""",
+    "discover_families": f"""
+with recursive {_FAMILIES}
+select format('TXF{{:06d}}', i) as family_id, format('TXM{{:06d}}', i) as monomer_id, s as monomer_sequence, p as monomer_length_bp, md5(s) as consensus_md5,
+    round((length(s) - length(translate(s, 'GC', '')))::double / length(s), 6) as gc_fraction, support as support_read_count, span as support_span_bp, round(score, 6) as mean_identity, low as low_complexity_flag,
+    case when support >= 5 and score >= 0.9 then 'high' else 'medium' end as confidence, case when low then 'low_complexity_family' else '' end as warning from fam""",
+    "discover_similarity": f"""
+with {_READS}, {_CATALOG},
+k as (select distinct family_id, least(k, {_RC.format("k")}) as k from (select family_id, substr(s, i::int, 11) as k from (select *, unnest(range(1, length(s) - 9)) as i from m where length(s) >= 11))),
+n as (select family_id, count(*) as n from k group by family_id),
+h as (select x.family_id as a, y.family_id as b, count(*) as shared from k x join k y on x.k = y.k and x.family_id < y.family_id group by all),
+p as (select a, b, turn, mx.s as x, case when turn = 1 then {_RC.format("my.s")} else my.s end as y from h join m mx on mx.family_id = a join m my on my.family_id = b, (values (0), (1)) as t(turn)),
+l as ({_best_shift("p")}),
+l1 as (select *, row_number() over (partition by a, b order by identity desc, overlap desc, turn) as place from l),
+z as (select a as family_a, b as family_b, length(mx.s) as length_a_bp, length(my.s) as length_b_bp, shared::double / (nx.n + ny.n - shared) as kmer_jaccard, shared::double / least(nx.n, ny.n) as shared_kmer_fraction,
+    identity as local_identity, overlap as local_overlap_bp, overlap::double / least(length(mx.s), length(my.s)) as local_overlap_fraction_shorter,
+    greatest(length(mx.s), length(my.s))::double / least(length(mx.s), length(my.s)) as length_ratio, case when turn = 1 then 'reverse' else 'forward' end as orientation
+    from h join l1 using (a, b) join m mx on mx.family_id = a join m my on my.family_id = b join n nx on nx.family_id = a join n ny on ny.family_id = b where place = 1),
+y as (select *, case when abs(length_ratio - {_RATIO}) <= 0.05::double and {_RATIO} >= 2 and {_ALIKE} then 'possible_higher_order_or_partial'
+    when local_identity >= 0.9::double and local_overlap_fraction_shorter >= 0.85::double and shared_kmer_fraction >= 0.8::double and length_ratio <= 1.2::double then 'likely_redundant'
+    when {_ALIKE} then 'possible_higher_order_or_partial' else 'distinct' end as relationship from z)
+select family_a, family_b, length_a_bp, length_b_bp, kmer_jaccard, shared_kmer_fraction, local_identity, local_overlap_bp,
+    local_overlap_fraction_shorter, length_ratio, orientation, relationship, relationship = 'likely_redundant' as redundant_candidate from y""",
     "short_periods": f"""
 with {_READS}, p as (select file_idx, rec_idx, s, unnest(range(2, least(19, length(s) // 2) + 1)) as p from r where length(s) >= 4),
 c as (select file_idx, rec_idx, p, substr(s, i::int, 1) as x, substr(s, (i + p)::int, 1) as y from (select *, unnest(range(1, length(s) - p + 1)) as i from p)),
@@ -112,7 +213,7 @@ q as (select file_idx, rec_idx, p, case when count_if(x in ('A', 'C', 'G', 'T')
 b as (select file_idx, rec_idx, p, v, row_number() over (partition by file_idx, rec_idx order by v desc, p) as k from q where v > 0)
 select r.file_idx, r.rec_idx, coalesce(p, 0) as period_bp, round(coalesce(v, 0), 6) as identity from r left join (select * from b where k = 1) b using (file_idx, rec_idx)""",
     "copy_number": f"""
-with {_READS}, {_TOP}, m as (select format('TXF{{:06d}}', i) as family_id, s from c where i <= 40),
+with {_READS}, {_CATALOG},
 k as (select family_id, substr(s, i::int, 21) as k from (select *, unnest(range(1, length(s) - 19)) as i from m where length(s) >= 21)),
 mk as (select family_id, least(k, {_RC.format("k")}) as kmer, count(*) as multiplicity from k group by all),
 d as (select kmer, min(family_id) as family_id, min(multiplicity) as multiplicity from mk group by kmer having count(*) = 1 and not {_TOO_PLAIN.format("kmer")}),
@@ -125,7 +226,7 @@ select family_id, monomer_length, d as diagnostic_kmer_count, round(md, 6) as me
     round(md / depth, 6) as estimated_copy_number, round(md / depth * monomer_length, 6) as estimated_bp, case when d = 0 then 'low' else 'medium' end as confidence,
     'haploid_depth_estimated_from_total_read_bases_and_genome_size' || case when d = 0 then ';no_diagnostic_kmers' else '' end as warning from y""",
     "locate_arrays": f"""
-with {_READS}, {_TOP}, m as (select format('TXF{{:06d}}', i) as family_id, s from c where i <= 40),
+with {_READS}, {_CATALOG},
 k as (select family_id, substr(s, i::int, 21) as k from (select *, unnest(range(1, length(s) - 19)) as i from m where length(s) >= 21)),
 mk as (select distinct family_id, least(k, {_RC.format("k")}) as kmer from k),
 mk2 as (select * from mk where not {_TOO_PLAIN.format("kmer")}),
@@ -226,16 +327,21 @@ select 'half_open' as check_name, half_open as n_failed, n_rows from a union all
 union all select 'score_range', score_range, n_rows from a union all select 'strand', strand, n_rows from a
 union all select 'confidence', confidence, n_rows from a union all select 'family', family, n_rows from a""",
     "known_matches": f"""
-with {_READS}, {_TOP}, m as (select format('TXF{{:06d}}', i) as id, s from c where i <= 40), w as (select format('TXF{{:06d}}', i) as id, s from c where i > 40 and i <= 80),
-q as (select id, 'forward' as o, 0 as turn, s from w union all select id, 'reverse', 1, {_RC.format("s")} from w),
-mk as (select distinct id, substr(s, i::int, 11) as k from (select id, s, unnest(range(1, length(s) - 9)) as i from m where length(s) >= 11)),
-qk as (select distinct id, o, turn, substr(s, i::int, 11) as k from (select id, o, turn, s, unnest(range(1, length(s) - 9)) as i from q where length(s) >= 11)),
-mn as (select id, count(*) as n from mk group by id), qn as (select id, o, count(*) as n from qk group by id, o),
-x as (select mk.id as f, qk.id as w, qk.o, qk.turn, count(*) as shared from mk join qk using (k) group by all),
-y as (select x.*, 2.0::double * shared / (mn.n + qn.n) as dice, shared::double / qn.n as share from x join mn on mn.id = x.f join qn on qn.id = x.w and qn.o = x.o),
-z as (select *, row_number() over (partition by w order by dice desc, share desc, f, turn) as k from y)
-select w.id as known_repeat_id, length(w.s) as known_repeat_length, z.f as best_family_id, length(m.s) as best_monomer_length, round(coalesce(dice, 0), 6) as similarity_score,
-    round(coalesce(share, 0), 6) as shared_kmer_fraction, z.o as orientation,
+with recursive {_MATCHES},
+best as (select *, row_number() over (partition by b order by dice desc, in_y desc, a, turn) as place from q5 where shared > 0)
+select known_id as known_repeat_id, length(q.s) as known_repeat_length, best.a as best_family_id, length(best.x) as best_monomer_length, round(coalesce(dice, 0), 6) as similarity_score,
+    round(coalesce(in_y, 0), 6) as shared_kmer_fraction, case turn when 0 then 'forward' when 1 then 'reverse' end as orientation,
     case when coalesce(dice, 0) >= 0.8 then 'strong_post_hoc_match' when coalesce(dice, 0) >= 0.5 then 'possible_post_hoc_match' when coalesce(dice, 0) > 0 then 'weak_post_hoc_match' else 'no_kmer_match' end as interpretation
-from w left join (select * from z where k = 1) z on z.w = w.id left join m on m.id = z.f""",
+from q left join (select * from best where place = 1) best on best.b = known_id""",
+    "annotate_repeats": f"""
+with recursive {_MATCHES},
+a0 as ({_best_shift("q1")}),
+a1 as (select *, greatest(in_x, in_y) as inside, row_number() over (partition by a order by dice desc, greatest(in_x, in_y) desc, identity desc, overlap desc, b, turn) as place from q5 join a0 using (a, b, turn)),
+a2 as (select *, greatest(1, least(length(x), length(y))) as shorter, greatest(length(x), length(y))::double / greatest(1, least(length(x), length(y))) as ratio from a1 where place = 1),
+a3 as (select *, case when dice = 0 and identity < 0.5 then 'no_known_match' when dice >= 0.8 and identity >= 0.8 then 'strong_known_match'
+    when abs(ratio - round_even(ratio, 0)) <= 0.10::double and round_even(ratio, 0) >= 2 and inside >= 0.65 and identity >= 0.70 then 'possible_higher_order_match'
+    when inside >= 0.5 and overlap::double / shorter >= 0.5 then 'possible_partial_match' when dice >= 0.2 or identity >= 0.65 then 'weak_known_match' else 'no_known_match' end as annotation_status from a2)
+select a as family_id, length(x) as monomer_length, case when dice > 0 or annotation_status <> 'no_known_match' then b end as best_known_id, length(y) as best_known_length,
+    case turn when 0 then 'forward' else 'reverse' end as best_orientation, round(share, 6) as shared_kmer_fraction, round(jaccard, 6) as jaccard, round(dice, 6) as dice,
+    round(in_x, 6) as containment_discovered_in_known, round(in_y, 6) as containment_known_in_discovered, round(identity, 6) as local_identity, overlap as local_overlap_bp, annotation_status, b as nearest_known_id from a3""",
 }

@@ -44,7 +44,7 @@ def test_copy_numbers_of_all_families(spark, folder):
     n = Counter(x for s in reads for x in canonical(s, K))
     depth = sum(map(len, reads)) / GENOME_SIZE
     want = {f: median([n[x] / m for x, m in c.items() if held[x] == 1 and not low(x)]) / depth for f, c in own.items()}
-    assert {r["family_id"]: r["estimated_copy_number"] for r in QUERIES["copy_number_all"](spark, at).collect()} == pytest.approx(want, abs=1e-5)
+    assert {r["family_id"]: r["estimated_copy_number"] for r in QUERIES["copy_number"](spark, at).collect()} == pytest.approx(want, abs=1e-5)
 
 
 def test_arrays_of_all_families(spark, folder):
@@ -62,7 +62,7 @@ def test_arrays_of_all_families(spark, folder):
                 hits[f].append(p)
         # reads are so short that all hits of a family lie within the gap
         want |= {(f"1:{i}", h[0], h[-1] + K, f, min(1000, 1000 * len(h) // (h[-1] - h[0] + 1))) for f, h in hits.items() if h[-1] + K - h[0] >= max(len(catalog[f]) // 2, 2 * K)}
-    got = QUERIES["locate_arrays_all"](spark, at).select("chrom", "start_bp", "end_bp", "family_id", "score").collect()
+    got = QUERIES["locate_arrays"](spark, at).select("chrom", "start_bp", "end_bp", "family_id", "score").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and len({w[3] for w in want}) == len(catalog)
 
 
@@ -82,7 +82,7 @@ def test_known_repeats_against_all_families(spark, folder):
     assert {r["family_id"]: r["monomer_length"] for r in rows} == {f: len(s) for f, s in catalog.items()}
     tandem = next(f for f, s in catalog.items() if len(s) == 75)
     assert next(r["best_known_id"] for r in rows if r["family_id"] == tandem) in known
-    got = {r["known_repeat_id"]: r for r in QUERIES["known_matches_all"](spark, at).collect()}
+    got = {r["known_repeat_id"]: r for r in QUERIES["known_matches"](spark, at).collect()}
     assert set(got) == set(known) and tandem in {r["best_family_id"] for r in got.values()}
 
 

@@ -263,13 +263,15 @@ def test_arrays_on_contigs_cut_into_chunks(spark, monkeypatch):
     contigs = spark.createDataFrame([("c1", flank(400) + unit * 6 + flank(700) + revcomp(unit) * 3), ("c2", flank(800)), ("c3", "ACG"), ("c4", None)], "chrom string, sequence string")
     catalog = spark.createDataFrame([("f", unit)], "family_id string, sequence string")
     seen = []
-    for size in (1 << 20, 130):
+    for size, most, sent in ((1 << 20, 1 << 22, 10**6), (130, 7, 10**6), (130, 7, 3)):
         monkeypatch.setattr(locate, "CHUNK", size)
+        monkeypatch.setattr(locate, "EXPANDED", most)
+        monkeypatch.setattr(quantify, "SENT_KMERS", sent)
         got = locate.locate_arrays(contigs, catalog, 21).orderBy("start_bp").collect()
         assert [(r["chrom"], r["confidence"]) for r in got] == [("c1", "high")] * 2
         assert got[0]["end_bp"] - got[0]["start_bp"] == pytest.approx(540, abs=4) and got[1]["end_bp"] - got[1]["start_bp"] == pytest.approx(270, abs=4)
         seen.append(got)
-    assert seen[0] == seen[1]
+    assert seen[0] == seen[1] == seen[2]
 
 
 @pytest.mark.parametrize("read,assembly,status", [(1000, 300, "possible_collapse"), (1000, 1800, "possible_overexpansion"), (1000, 900, "consistent"), (0, 0, "low_confidence"), (0, 5, "assembly_only"), (5, 0, "reads_only"), (1000, 600, "consistent"), (1000, 1500, "consistent")])
