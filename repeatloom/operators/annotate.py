@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatloom.functions import dna
+from repeatloom.functions import dna, kernels
 from repeatloom.operators.discover import local_identities
 
-
+#: Families or known repeats of a block, of which every pair is compared.
+BLOCK = 64
 NUMBERS = ["shared_kmer_fraction", "jaccard", "dice", "containment_discovered_in_known", "containment_known_in_discovered", "local_identity", "local_overlap_bp"]
 
 
@@ -109,18 +114,49 @@ def annotate_repeats(catalog: DataFrame, known: DataFrame, k: int = 11) -> DataF
     return out.fillna(0, NUMBERS).fillna("no_known_match", ["annotation_status"])
 
 
+def _best_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row, a block of families and a block of known repeats, every family's best repeat of the block."""
+    names = ["family_id", "a", "known_id", "b", "orientation", "local_identity", "local_overlap_bp"]
+    types = [pa.string()] * 5 + [pa.float64(), pa.int64()]
+    for batch in batches:
+        for own, known in zip(batch.column("own").to_pylist(), batch.column("known").to_pylist()):
+            codes = [kernels.encode(pa.array([r["s"]]))[0] for r in known]
+            turned = [np.where(c >= 0, 3 - c, c)[::-1] for c in codes]
+            rows = []
+            for f in own:
+                x = kernels.encode(pa.array([f["s"]]))[0]
+                best = None
+                for r, there, back in zip(known, codes, turned):
+                    for turn, y in enumerate((there, back)):
+                        share, overlap = kernels.local_identity(x, y)
+                        rank = (-share, -overlap, r["id"], turn)
+                        if best is None or rank < best[0]:
+                            best = rank, r["s"]
+                (share, overlap, known_id, turn), s = best
+                rows.append((f["id"], f["s"], known_id, s, "reverse" if turn else "forward", -share, -overlap))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
 def best_by_identity(rest: DataFrame, known: DataFrame) -> DataFrame:
     """Of families (family_id, sequence), the known repeat of best local identity, then overlap, then identifier.
 
-    Every pair is compared, in both orientations: the known library is the stated query set. Families are dealt out to
-    all cores; each family's best is combined before the shuffle.
+    Every pair is compared, in both orientations, as the known library is the stated query set: blocks of families meet
+    blocks of the library, a task works on a pair of blocks, and each family's best of a block goes to the shuffle.
     """
-    left = rest.select("family_id", F.col("sequence").alias("seq_a")).repartition(rest.sparkSession.sparkContext.defaultParallelism)
-    pairs = local_identities(left.crossJoin(known.select("known_id", F.col("known_sequence").alias("seq_b"))))
-    first = F.struct(-F.col("local_identity"), -F.col("local_overlap_bp"), "known_id")
-    found = F.struct("known_id", "seq_a", "seq_b", "local_identity", "local_overlap_bp", "orientation")
-    best = pairs.groupBy("family_id").agg(F.min_by(found, first).alias("r")).select("family_id", "r.*")
-    return best.withColumnsRenamed({"seq_a": "a", "seq_b": "b"}).withColumn("turn", F.when(F.col("orientation") == "reverse", 1).otherwise(0))
+
+    def blocks(df: DataFrame, name: str, sequence: str, rows: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // rows))
+        block = F.pmod(F.xxhash64(name), F.lit(n)).alias("block")
+        return df.groupBy(block).agg(F.collect_list(F.struct(F.col(name).cast("string").alias("id"), F.col(sequence).alias("s"))).alias("rows")), n  # about `rows` rows each
+
+    library, n = blocks(known, "known_id", "known_sequence", BLOCK)
+    own, _ = blocks(rest, "family_id", "sequence", BLOCK)
+    own = own.select(F.col("rows").alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
+    pairs = own.join(library.withColumnRenamed("rows", "known"), "block").select("own", "known").repartition(rest.sparkSession.sparkContext.defaultParallelism)
+    found = pairs.mapInArrow(_best_of_block, "family_id string, a string, known_id string, b string, orientation string, local_identity double, local_overlap_bp bigint")
+    found = found.withColumn("turn", F.when(F.col("orientation") == "reverse", 1).otherwise(0))
+    first = F.struct(-F.col("local_identity"), -F.col("local_overlap_bp"), "known_id", "turn")
+    return found.groupBy("family_id").agg(F.min_by(F.struct("known_id", "a", "b", "local_identity", "local_overlap_bp", "orientation", "turn"), first).alias("r")).select("family_id", "r.*")
 
 
 def local_identities_forward(pairs: DataFrame) -> DataFrame:
