@@ -11,6 +11,8 @@ from repeatloom.operators import annotate, catalog, discover, intervals, locate,
 from repeatloom.operators.order import numbered
 from repeatloom.operators.records import bad_records, parse_records, valid_arrays, valid_reads
 from repeatloom.session import Scratch, table
+from repeatloom.sources.sequence import read_sequences
+from repeatloom.sources.tables import write_fasta
 
 K = 21
 GENOME_SIZE = 1_000_000.0
@@ -107,6 +109,17 @@ def header_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sequence_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of known letters written as FASTQ, or FASTA where they have no quality of their length, and read back."""
+    at = Scratch(spark, "files").at
+    r = _reads(spark, sf).where(F.col("sequence").rlike("^[ACGTN]+$"))
+    header = F.concat("file_idx", F.lit(":"), "rec_idx", F.lit(" "), F.coalesce("description", F.lit("")))
+    good = F.coalesce(F.length("quality") == F.length("sequence"), F.lit(False)) & ~F.coalesce(F.col("quality").rlike(r"\s"), F.lit(False))
+    r.where(good).select(F.concat(F.lit("@"), header, F.lit("\n"), "sequence", F.lit("\n+\n"), "quality")).write.text(f"{at}/reads.fq")
+    write_fasta(r.where(~good), header, "sequence", f"{at}/reads.fa")
+    return read_sequences(spark, f"{at}/reads.fq", f"{at}/reads.fa").select("id", "sequence", "quality", "description")
+
+
 def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
     return quantify.kmer_counts(_reads(spark, sf), "sequence", 8).select(quantify.kmer_text("kmer", 8).alias("kmer"), "n")
 
@@ -270,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p6_found, p6_arrays, p6_reads, sequence_stats, length_summary, read_problems, duplicate_ids, round_robin, within_budget, hash_sample,
-        reverse_complements, base_composition, header_fields, kmer_counts, kmer_spectrum, spacing_peaks, short_periods, discover_candidates, discover_families,
+        reverse_complements, base_composition, header_fields, sequence_files, kmer_counts, kmer_spectrum, spacing_peaks, short_periods, discover_candidates, discover_families,
         discover_similarity, copy_number, locate_arrays, merged_hits, window_density, assembly_vs_reads, probe_ranking, fish_signals, probes_on_target,
         best_probe_scores, pair_classes, redundancy_warnings, collapse_families, catalog_summary, label_counts, warning_counts, length_histogram, top_families,
         label_pairs, flag_accuracy, nearest_lengths, run_differences, run_aggregate, failed_checks, known_matches, annotate_repeats,

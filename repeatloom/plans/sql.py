@@ -165,6 +165,9 @@ select file_idx, rec_idx, split(split(trim(description), ' ')[1], ';')[1] as rec
     case when regexp_extract(';' || description, ';strand=([^;]*)', 1) in ('+', '-') then regexp_extract(';' || description, ';strand=([^;]*)', 1) else '.' end as strand,
     try_cast(regexp_extract(';' || description, ';source_start=([^;]*)', 1) as bigint) as source_start,
     try_cast(regexp_extract(';' || description, ';error_rate=([^;]*)', 1) as double) as error_rate from reads""",
+    "sequence_files": rf"""
+with {_READS}, q as (select *, coalesce(length(quality) = length(s), false) and not coalesce(regexp_matches(quality, '\s'), false) as good from r where regexp_full_match(s, '[ACGTN]+'))
+select file_idx || ':' || rec_idx as id, s as sequence, case when good then quality end as quality, trim(file_idx || ':' || rec_idx || ' ' || coalesce(description, '')) as description from q""",
     "kmer_counts": f"""
 with {_READS}, k as (select substr(s, i::int, 8) as k from (select s, unnest(range(1, length(s) - 6)) as i from r where length(s) >= 8))
 select least(k, {_RC.format("k")}) as kmer, count(*) as n from k where regexp_full_match(k, '[ACGT]+') group by 1""",

@@ -1,29 +1,28 @@
-"""FASTA and FASTQ files, plain or gzip, as a Spark data source.
+"""FASTA and FASTQ files, plain or gzip, on any file system of the cluster.
 
-    spark.dataSource.register(SequenceSource)
-    spark.read.format("repeatloom_sequence").load("reads/*.fq.gz")
+    read_sequences(spark, "reads/*.fq.gz", "more.fa")
 
-Option `path` may hold several paths separated by commas; their order gives file_idx. rec_idx is the record's place in
-its file, or its byte offset where a large plain FASTA file is read in several parts (option `split_bytes`, 0 for never).
+Spark's text source reads and splits the files: FASTA by records, FASTQ by lines, of which a task finds the first record
+of its part itself. Records that lie across parts are put together afterwards. A gzip file cannot be split.
 """
 
 from __future__ import annotations
 
-import glob
-import gzip
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file_idx int, rec_idx bigint, id string, sequence string, quality string, description string"
+from repeatloom.session import Scratch
+
 # File name endings of each format, and the letters of a sequence.
 FORMATS = {"fasta": (".fa", ".fasta"), "fastq": (".fq", ".fastq")}
 BASES = frozenset("ACGTN")
 ROWS = 4096
+#: Parts of files whose first ordinals are sent to all tasks at most.
+SENT_PARTS = 1_000_000
 
 
 class SequenceFormatError(ValueError):
@@ -31,11 +30,11 @@ class SequenceFormatError(ValueError):
 
 
 def sequence_format(path: str) -> str:
-    """fasta or fastq, by the ending of the file name without .gz."""
-    name = os.path.basename(path).lower().removesuffix(".gz")
-    for kind, endings in FORMATS.items():
-        if name.endswith(endings):
-            return kind
+    """fasta or fastq, by the ending of the file name without .gz, or of the folder's that Spark wrote it to."""
+    for name in (os.path.basename(path), os.path.basename(os.path.dirname(path))):
+        for kind, endings in FORMATS.items():
+            if name.lower().removesuffix(".gz").endswith(endings):
+                return kind
     raise SequenceFormatError(f"not a FASTA or FASTQ file name: {path}")
 
 
@@ -99,104 +98,163 @@ def fastq_records(lines: Iterator[str], path: str) -> Iterator[tuple[int, str, s
         yield number, header[1:].strip(), sequence, quality
 
 
-class _Part(InputPartition):
-    def __init__(self, file_idx: int, path: str, start: int | None = None, stop: int | None = None):
-        self.file_idx, self.path, self.start, self.stop = file_idx, path, start, stop
-
-
-def _fasta_part(path: str, start: int, stop: int) -> Iterator[tuple[int, str, str]]:
-    """Records of a plain FASTA file whose header begins in [start, stop), with their byte offsets."""
-    with open(path, "rb") as f:
-        if start:
-            f.seek(start - 1)
-            f.readline()  # the rest of a line that begins before
-        offset, header, parts = f.tell(), None, []
-        while line := f.readline():
-            if line.startswith(b">"):
-                if header is not None:
-                    yield at, header, "".join(parts)
-                    header = None
-                if offset >= stop:
-                    return
-                header, at, parts = line[1:].decode().strip(), offset, []
-                if not header:
-                    raise SequenceFormatError(f"{path}, byte {offset}: empty header")
-            elif header is not None and line.strip():
-                parts.append(_bases(line.decode(), path, offset))
-            elif start == 0 and line.strip():
-                raise SequenceFormatError(f"{path}: sequence before the first header")
-            offset += len(line)
-        if header is not None:
-            yield at, header, "".join(parts)
-
-
-class SequenceReader(DataSourceReader):
-    def __init__(self, options: dict):
-        paths = [p.strip() for p in options.get("path", "").split(",") if p.strip()]
-        self.paths = [q for p in paths for q in (sorted(glob.glob(p)) or [p])]
-        self.split = int(options.get("split_bytes", 64 << 20))
-
-    def partitions(self):
-        parts = []
-        for i, path in enumerate(self.paths):
-            size = os.path.getsize(path)
-            if self.split and sequence_format(path) == "fasta" and not path.endswith(".gz") and size > self.split:
-                parts += [_Part(i, path, at, min(at + self.split, size)) for at in range(0, size, self.split)]
-            else:
-                parts.append(_Part(i, path))
-        return parts
-
-    def read(self, part: _Part):
-        kind, rows, n = sequence_format(part.path), [], 0
-
-        def batch():
-            columns = list(zip(*rows))
-            types = [pa.int32(), pa.int64(), *[pa.string()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["file_idx", "rec_idx", "id", "sequence", "quality", "description"])
-
-        def records():
-            if part.start is not None:
-                for at, header, sequence in _fasta_part(part.path, part.start, part.stop):
-                    yield at, header, sequence, None
-                return
-            with gzip.open(part.path, "rt") if part.path.endswith(".gz") else open(part.path) as lines:
-                made = fasta_records(lines, part.path) if kind == "fasta" else fastq_records(lines, part.path)
-                for i, (_, header, sequence, *quality) in enumerate(made):
-                    yield i, header, sequence, quality[0] if quality else None
-
-        for place, header, sequence, quality in records():
-            rows.append((part.file_idx, place, record_id(header), sequence, quality, header))
-            n += 1
-            if len(rows) == ROWS:
-                yield batch()
-                rows = []
-        if rows:
-            yield batch()
-        if not n and part.start is None:
-            raise SequenceFormatError(f"{part.path}: no records")
-
-
-class SequenceSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "repeatloom_sequence"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return SequenceReader(self.options)
+_PARSED = "path string, part bigint, i bigint, kind string, id string, sequence string, quality string, description string, lines string"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6]
+    names = [c.split()[0] for c in _PARSED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    kept = []
+    for row in rows:
+        kept.append(row)
+        if len(kept) == ROWS:
+            yield _batch(kept)
+            kept = []
+    if kept:
+        yield _batch(kept)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
+def _fasta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of texts that the text source has cut before each header; the first text of a file still has its mark."""
+
+    def rows() -> Iterator[tuple]:
+        now, i = None, 0
+        for path, part, text in _values(batches):
+            if (path, part) != now:
+                now, i, first = (path, part), 0, part == 0
+            for _, header, sequence in fasta_records(iter((text if first else ">" + text).split("\n")), path):
+                yield path, part, i, "record", record_id(header), sequence, None, header, None
+                i += 1
+            first = False
+
+    return _batches(rows())
+
+
+def _fastq(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the lines of each part of a file, and the lines before its first and after its last whole record.
+
+    A record begins where a line with @ is followed, two lines on, by one with +: a quality line that begins with @ is not,
+    as a line of bases comes two lines after it. A part's own records are followed by a row of kind `tail` with the
+    lines left, which the next part's `head` ends; a part too short to hold a record whole is a head, or a tail if it
+    is the first.
+    """
+
+    def rows() -> Iterator[tuple]:
+        now, lines, i, synced = None, [], 0, False
+
+        def end() -> Iterator[tuple]:
+            if now:
+                path, part = now
+                kind = "tail" if synced or part == 0 else "head"
+                yield path, part, i, kind, None, None, None, None, "\n".join(lines)
+
+        for path, part, line in _values(batches):
+            if (path, part) != now:
+                yield from end()
+                now, lines, i, synced = (path, part), [], 0, part == 0
+            line = line.rstrip("\r")
+            if not line:
+                continue
+            lines.append(line)
+            if not synced and len(lines) == 7:
+                starts = [j for j in range(4) if lines[j].startswith("@") and lines[j + 2].startswith("+")]
+                if not starts:
+                    raise SequenceFormatError(f"{path}, byte {part}: no record begins in seven lines")
+                yield path, part, 0, "head", None, None, None, None, "\n".join(lines[: starts[0]])
+                lines, synced = lines[starts[0] :], True
+            while synced and len(lines) >= 4:
+                for _, header, sequence, quality in fastq_records(iter(lines[:4]), path):
+                    yield path, part, i, "record", record_id(header), sequence, quality, header, None
+                lines, i = lines[4:], i + 1
+        yield from end()
+
+    return _batches(rows())
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the lines that parts have left, put together."""
+
+    def rows() -> Iterator[tuple]:
+        for path, part, i, text in _values(batches):
+            for n, (_, header, sequence, quality) in enumerate(fastq_records(iter(text.split("\n")), path)):
+                yield path, part, i + n, "record", record_id(header), sequence, quality, header, None
+
+    return _batches(rows())
+
+
+def _parsed(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
+    """Records of files of one format: (path, part, i, id, sequence, quality, description), i from 0 in each part."""
+    text = spark.read.option("lineSep", "\n>" if kind == "fasta" else "\n").text(sorted(set(paths)))
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), "value")
+    found = text.mapInArrow(_fasta if kind == "fasta" else _fastq, _PARSED)
+    columns = ["path", "part", "i", "id", "sequence", "quality", "description"]
+    whole = found.where("kind = 'record'").select(columns)
+    if kind == "fasta":
+        return whole
+    order = Window.partitionBy("path").orderBy("part", "kind")  # two rows a part of a file
+    left = found.where("kind <> 'record'").withColumn("of", F.sum((F.col("kind") == "tail").cast("int")).over(order))
+    left = left.groupBy("path", "of").agg(
+        F.min_by(F.struct("part", "i"), F.struct("part", "kind")).alias("at"), F.array_sort(F.collect_list(F.struct("part", "kind", "lines"))).alias("all")
+    )
+    lines = F.array_join(F.filter(F.transform("all", lambda x: x["lines"]), lambda x: x != ""), "\n")
+    left = left.select("path", F.col("at.part").alias("part"), F.col("at.i").alias("i"), lines.alias("lines")).where("lines <> ''")
+    return whole.unionByName(left.mapInArrow(_across, _PARSED).select(columns))
+
+
+def files_of(spark: SparkSession, *paths: str) -> list[str]:
+    """Files of paths in the order given: patterns and folders in the order of their names."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for text in paths:
+        path = fs.Path(text)
+        system = path.getFileSystem(conf)
+        found = list(system.globStatus(path) or [])
+        if not found:
+            raise FileNotFoundError(text)
+        for status in found:
+            inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+            out += sorted(s.getPath().toString() for s in inner if s.isFile() and s.getPath().getName()[:1] not in "._")
+    return out
 
 
 def read_sequences(spark: SparkSession, *paths: str, unique_ids: bool = True) -> DataFrame:
-    """Records of sequence files in the order given. With unique_ids, a job fails if an identifier comes twice, in any file."""
-    spark.dataSource.register(SequenceSource)
-    df = spark.read.format("repeatloom_sequence").load(",".join(paths))
-    if unique_ids:
-        twice = df.groupBy("id").count().where("count > 1").limit(1).collect()
-        if twice:
-            raise SequenceFormatError(f"identifier of several records: {twice[0]['id']}")
-    return df
+    """Records of sequence files in the order given: (file_idx, rec_idx, id, sequence, quality, description).
+
+    rec_idx is the record's place in its file, however it is split. A malformed file, one without records and, with
+    unique_ids, an identifier that comes twice in any files raise an error. Files are parsed once for identifiers and
+    the number of records in each part, which are written, and once for the result.
+    """
+    files = files_of(spark, *paths)
+    kinds = [sequence_format(f) for f in files]
+    parsed = None
+    for kind in FORMATS:
+        if some := [f for f, k in zip(files, kinds) if k == kind]:
+            one = _parsed(spark, kind, some)
+            parsed = one if parsed is None else parsed.unionByName(one)
+    index = spark.createDataFrame(list(enumerate(files)), "file_idx int, path string").coalesce(1)
+    parsed = parsed.join(index, "path").drop("path")
+    ids = Scratch(spark, "sequences").write(parsed.select("file_idx", "part", "id"), "ids")
+    parts = ids.groupBy("file_idx", "part").agg(F.count(F.lit(1)).alias("n"))
+    empty = set(range(len(files))) - {r[0] for r in parts.select("file_idx").distinct().collect()}  # a row per file
+    if empty:
+        raise SequenceFormatError(f"{files[min(empty)]}: no records")
+    if unique_ids and (twice := ids.groupBy("id").count().where("count > 1").limit(1).collect()):
+        raise SequenceFormatError(f"identifier of several records: {twice[0]['id']}")
+    before = F.sum("n").over(Window.partitionBy("file_idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = parts.select("file_idx", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    if shift.count() <= SENT_PARTS:
+        shift = F.broadcast(shift)
+    out = parsed.join(shift, ["file_idx", "part"])
+    return out.select("file_idx", (F.col("before") + F.col("i")).alias("rec_idx"), "id", "sequence", "quality", "description")
 
 
 def catalog_records(df: DataFrame) -> DataFrame:

@@ -105,18 +105,33 @@ def test_sequence_files(spark, tmp_path):
         read_sequences(spark, str(tmp_path / "a.fa"), str(tmp_path / "a.fa"))
 
 
-def test_a_large_file_in_parts_gives_each_record_once(spark, tmp_path):
-    (tmp_path / "a.fa").write_text("".join(f">r{i}\n{'ACGT' * (i % 7 + 1)}\nTT\n" for i in range(300)))
-    df = spark.read.format("repeatloom_sequence").option("split_bytes", 97).load(str(tmp_path / "a.fa"))
-    got = df.orderBy("rec_idx").collect()
-    assert [(r["id"], r["sequence"]) for r in got] == [(f"r{i}", "ACGT" * (i % 7 + 1) + "TT") for i in range(300)] and df.rdd.getNumPartitions() > 20
+@pytest.fixture(params=[40, 97, 1000, 1 << 27])
+def part_bytes(spark, request):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_in_parts_give_each_record_once_and_in_order(spark, tmp_path, part_bytes):
+    rng = random.Random(part_bytes)
+    records = [(f"r{i}", "".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 40)))) for i in range(120)]
+    quality = ["".join(rng.choice("@+>IF#") for _ in s) for _, s in records]
+    (tmp_path / "a.fa").write_text("\n\n" + "".join(f">{n};strand=+ x\r\n{s[:9].lower()}\n{s[9:]}\n" + "\n" * rng.randrange(2) for n, s in records))
+    (tmp_path / "b.fq").write_text("".join(f"@{n}b @\n{s}\n+{n * rng.randrange(2)}\n{q}\n" + "\n" * rng.randrange(2) for (n, s), q in zip(records, quality)))
+    got = read_sequences(spark, str(tmp_path / "a.fa"), str(tmp_path / "b.fq")).orderBy("file_idx", "rec_idx").collect()
+    want = [(0, i, n, s, None, f"{n};strand=+ x") for i, (n, s) in enumerate(records)]
+    want += [(1, i, f"{n}b", s, q, f"{n}b @") for i, ((n, s), q) in enumerate(zip(records, quality))]
+    assert [tuple(r) for r in got] == want
 
 
 @pytest.mark.parametrize("name,text", [("a.fa", ""), ("a.fa", "ACG\n>r\nA\n"), ("a.fa", ">\nA\n"), ("a.fa", ">r\n>s\nA\n"), ("a.fa", ">r\nAX\n"), ("a.fq", "@r\nA\n+\n"), ("a.fq", "r\nA\n+\nF\n"), ("a.fq", "@r\nA\n-\nF\n"), ("a.fq", "@r\nAC\n+\nF\n"), ("a.fq", "")])
-def test_malformed_files_fail(spark, tmp_path, name, text):
+@pytest.mark.parametrize("size", [3, 1 << 27])
+def test_malformed_files_fail(spark, tmp_path, name, text, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     (tmp_path / name).write_text(text)
     with pytest.raises(Exception, match=name):
         read_sequences(spark, str(tmp_path / name), unique_ids=False).count()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_tables_round_trip_and_validate(spark, tmp_path):
