@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from repeatloom.operators.discover import relationship
 from repeatloom.operators.graph import components
+from repeatloom.session import Scratch
 
 RELATED = "possible_higher_order_or_partial"
+# The figures of a pair that the audit of a collapse names, in order.
+PAIR_FIGURES = ["kmer_jaccard", "shared_kmer_fraction", "local_identity", "local_overlap_bp", "length_ratio"]
 
 
 def status_label() -> Column:
@@ -115,8 +118,10 @@ def failed_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def collapse(families: DataFrame, similarity: DataFrame) -> DataFrame:
-    """Which family stands for each: (original_family_id, retained_family_id, action, reason).
+    """Which family stands for each: (original_family_id, retained_family_id, action, reason, relationship, similarity_metrics, notes).
 
+    relationship and metrics are those of the pair of a collapsed family with the one retained, of the largest figures
+    where it is recorded several times; a family linked through others only has no metrics.
     Only likely_redundant pairs link families. Of a component, the family with most support reads, then span, identity,
     then the shorter monomer and the larger identifier is retained. families: one row per family_id.
     """
@@ -128,22 +133,77 @@ def collapse(families: DataFrame, similarity: DataFrame) -> DataFrame:
     kept = f.withColumn("place", F.row_number().over(best)).where("place = 1").select("component", F.col("family_id").alias("retained_family_id"))
     size = f.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     out = f.select("component", F.col("family_id").alias("original_family_id")).join(kept, "component").join(size, "component")
+    digits = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.format_string("%.4f", c)))
+    figures = [digits(c) if dict(links.dtypes).get(c) == "double" else F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in PAIR_FIGURES if c in links.columns]
+    direct = links.where("family_a <> family_b").select(F.least("family_a", "family_b").alias("x"), F.greatest("family_a", "family_b").alias("y"), F.struct(*[c for c in PAIR_FIGURES if c in links.columns]).alias("f"))
+    direct = direct.groupBy("x", "y").agg(F.max("f").alias("f")).select("x", "y", "f.*").select("x", "y", F.concat_ws(";", *figures).alias("metrics")) if figures else direct.select("x", "y", F.lit("").alias("metrics")).distinct()
+    out = out.withColumns({"x": F.least("original_family_id", "retained_family_id"), "y": F.greatest("original_family_id", "retained_family_id")}).join(direct, ["x", "y"], "left")
     same = F.col("original_family_id") == F.col("retained_family_id")
     reason = F.when(~same, "likely_redundant_to_retained_family").when(F.col("n") > 1, "selected_representative").otherwise("no_likely_redundant_match")
-    return out.select("original_family_id", "retained_family_id", F.when(same, "retained").otherwise("collapsed").alias("action"), reason.alias("reason"))
+    return out.select(
+        "original_family_id", "retained_family_id", F.when(same, "retained").otherwise("collapsed").alias("action"), reason.alias("reason"), F.when(same, "").otherwise("likely_redundant").alias("relationship"),
+        F.when(same, "").otherwise(F.coalesce("metrics", F.lit(""))).alias("similarity_metrics"), F.when(same, "only redundant families collapse").when(F.col("metrics").isNull(), "linked through others").otherwise("").alias("notes"),
+    )
+
+
+def period_accuracy(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: how well periods predicted for reads (read_id, period) meet the true ones (read_id, period; null for none).
+
+    A read counts as correct if a predicted period is within 2 %, or 2 bases, of its true one. Recall is of the reads with
+    a true period, precision of the reads with a prediction, the false-positive rate of the reads without a true period;
+    the error is that of each read's nearest prediction. truth: one row per read; predictions of other reads count as made.
+    """
+    p = predictions.where("read_id is not null and period is not null").groupBy("read_id").agg(F.collect_set("period").alias("periods"))  # different periods of a read
+    both = truth.where("read_id is not null").select("read_id", F.col("period").alias("true"), F.lit(True).alias("known")).join(p, "read_id", "full")
+    error = F.array_min(F.transform("periods", lambda x: F.abs(x - F.col("true"))))
+    near = error <= F.greatest(F.lit(2), F.bround(F.col("true") * 0.02, 0))
+    positive, made = F.col("true").isNotNull(), F.col("periods").isNotNull()
+    background = F.coalesce(F.col("known"), F.lit(False)) & ~positive
+    n = both.agg(
+        F.count_if(positive).alias("positive_reads"), F.count_if(made).alias("predicted_reads"), F.count_if(F.coalesce(near, F.lit(False))).alias("correct_reads"),
+        F.count_if(background & made).alias("false_positive_reads"), F.count_if(background).alias("background"), F.avg(error).alias("period_error_bp"),
+    )
+    share = lambda x, of: F.when(F.col(of) > 0, F.col(x) / F.col(of)).otherwise(F.lit(0.0))
+    return n.select(
+        "positive_reads", "predicted_reads", "correct_reads", "false_positive_reads", share("correct_reads", "positive_reads").alias("recall"), share("correct_reads", "predicted_reads").alias("precision"),
+        share("false_positive_reads", "background").alias("false_positive_rate"), "period_error_bp",
+    )
+
+
+def compare_runs(settings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Settings and results of pairs of runs (run_a, run_b), from rows (run, category, item, value, blocking).
+
+    Items of either run come out, with values as text (missing: empty; equal if missing in both), and per pair a row
+    `directly_comparable`: false if a blocking item differs, with those items and their values as the reason.
+    """
+    text = F.coalesce(F.col("value"), F.lit(""))
+    side = lambda s: pairs.select("run_a", "run_b", F.col(f"run_{s}").alias("run")).join(settings.select("run", "category", "item", text.alias(f"value_{s}"), "value", F.col("blocking").alias(f"blocking_{s}")), "run").drop("run").withColumnRenamed("value", f"raw_{s}")
+    both = side("a").join(side("b"), ["run_a", "run_b", "category", "item"], "full")
+    values = [F.coalesce(f"value_{s}", F.lit("")).alias(f"value_{s}") for s in "ab"]
+    same, blocking = F.col("raw_a").eqNullSafe(F.col("raw_b")), F.coalesce("blocking_a", "blocking_b")
+    rows = both.select("run_a", "run_b", "category", "item", *values, same.alias("same"), F.when(blocking, "blocking_if_different").otherwise("result_difference").alias("impact"), F.lit("").alias("notes"))
+    differs = F.when((F.col("impact") == "blocking_if_different") & ~F.col("same"), F.struct("item", F.concat("item", F.lit(": "), "value_a", F.lit(" vs "), "value_b").alias("text")))
+    summary = rows.groupBy("run_a", "run_b").agg(F.array_sort(F.collect_list(differs)).alias("d"))  # an entry per setting
+    reason = F.array_join(F.transform("d", lambda x: x["text"]), "; ")
+    fine = (F.size("d") == 0).cast("string")
+    summary = summary.select("run_a", "run_b", F.lit("interpretation").alias("category"), F.lit("directly_comparable").alias("item"), fine.alias("value_a"), fine.alias("value_b"), F.lit(True).alias("same"), F.lit("summary").alias("impact"), reason.alias("notes"))
+    return rows.unionByName(summary)
 
 
 def label_pairs(similarity: DataFrame, max_labels: int = 12, per_family: int = 3) -> DataFrame:
     """Pairs to label in a figure: the best related ones, no family in more than some of them.
 
     Pairs are chosen one by one in order of score; each choice is the best pair after the last one whose families still
-    have room, so a small number of passes finds them in a table of any size.
+    have room, so a small number of passes over the pairs, written once, finds them in a table of any size. All are chosen
+    if they are no more than max_labels.
     """
     shorter = F.least("length_a_bp", "length_b_bp")
     score = F.col("shared_kmer_fraction") * F.col("local_identity") * F.col("local_overlap_fraction_shorter") * F.when(shorter < 20, 0.35).otherwise(1.0)
     pairs = similarity.where("relationship <> 'distinct' and family_a is not null and family_b is not null")
     best = F.struct(score.alias("score"), "shared_kmer_fraction", shorter.alias("shorter"), "family_a", "family_b")
-    pairs = pairs.select(best.alias("best")).where("best.score is not null").distinct()
+    pairs = Scratch(similarity.sparkSession, "labels").write(pairs.select(best.alias("best")).where("best.score is not null").distinct(), "pairs")
+    if pairs.count() <= max_labels:
+        per_family = max_labels
     chosen: list = []
     used: dict[str, int] = {}
     while len(chosen) < max_labels:

@@ -195,18 +195,18 @@ def window_density(intervals: DataFrame, lengths: DataFrame, chrom: str, start:
     return out.select(F.col("c").alias(chrom), F.col("w").alias(start), stop.alias(end), density.cast("double").alias("density"))
 
 
-def overlap_semi_join(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, bin_size: int = 1 << 16) -> DataFrame:
-    """Rows of `left` whose interval overlaps one of `right` with the same keys.
+def overlap_semi_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], start: str, end: str, bin_size: int = 1 << 16) -> DataFrame:
+    """Rows of `left` whose interval overlaps one of `right` with the same two keys.
 
-    Both sides meet by keys and bin of coordinates; `left` needs no identifier, repeated rows stay repeated. Rows with
-    nulls in keys or interval match nothing. Bins bound what a hot key costs a task; the rest is left to the
-    optimiser's skew join.
+    The right side is merged to disjoint periods first, so that what a hot key brings to a bin of coordinates is bounded by
+    the bin's length and not by its rows; both sides then meet by keys and bin. `left` needs no identifier, repeated
+    rows stay repeated. Rows with nulls in keys or interval match nothing.
     """
     bins = lambda s, e: F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size))
     names = [*keys, start, end]
-    right_bins = right.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).where("_s >= 0 and _e > _s")
-    right_bins = right_bins.select(*keys, "_s", "_e", F.explode(bins("_s", "_e")).alias("_bin"))
+    periods = merge_intervals(right, keys, start, end).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    periods = periods.select(*keys, "_s", "_e", F.explode(bins("_s", "_e")).alias("_bin"))
     wanted = left.select(*names).where(f"{start} >= 0 and {end} > {start}").distinct()
     wanted = wanted.withColumn("_bin", F.explode(bins(start, end)))
-    hit = wanted.join(right_bins, [*keys, "_bin"]).where((F.col(start) < F.col("_e")) & (F.col("_s") < F.col(end)))
+    hit = wanted.join(periods, [*keys, "_bin"]).where((F.col(start) < F.col("_e")) & (F.col("_s") < F.col(end)))
     return left.join(hit.select(*names).distinct(), names, "left_semi")

@@ -61,7 +61,7 @@ def rank_probes(catalog: DataFrame, contigs: DataFrame, copy_number: DataFrame,
     tiles = probe_sequences(catalog, min_len, max_len).where(dna.top_base_share("sequence") < LOW_COMPLEXITY)
     named = numbered(tiles, ["family_id", "place"]).withColumn("probe_id", F.format_string("TXP%06d", "position"))
     regions = probe_regions(named, contigs).join(named.select("probe_id", "family_id"), "probe_id")
-    targets = overlap_semi_join(regions, arrays, ["chrom", "family_id"], "start_bp", "end_bp")
+    targets = overlap_semi_join(regions, arrays, ("chrom", "family_id"), "start_bp", "end_bp")
     text = F.concat("chrom", F.lit(":"), "start_bp", F.lit("-"), "end_bp")
     hit = targets.groupBy("probe_id").agg(F.count(F.lit(1)).alias("targets"), F.array_sort(F.collect_list(F.struct("chrom", "start_bp", text.alias("text")))).alias("at"))
     every = regions.groupBy("probe_id").agg(F.count(F.lit(1)).alias("regions"))

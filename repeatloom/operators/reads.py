@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,52 @@ def discovery_budget(total_bases: int, genome_size: float | None = None, coverag
     return None if total_bases < trigger else min(most, total_bases)
 
 
+def limited(reads: DataFrame, max_reads: int | None = None, max_bases: int | None = None, sample_rate: float = 1.0) -> DataFrame:
+    """A sample of the reads, and of it the first ones up to a number of reads and of bases.
+
+    Reads count in file order; with a limit of bases, several files and no sampling they are taken from all files in turn.
+    """
+    if not 0 < sample_rate <= 1 or (max_reads is not None and max_reads <= 0) or (max_bases is not None and max_bases <= 0):
+        raise ValueError("limits must be positive, the sample rate at most 1")
+    some = reads if sample_rate == 1 else sample_reads(reads, sample_rate)
+    if max_reads is None and max_bases is None:
+        return some
+    order = ["file_idx", "rec_idx"]
+    if max_bases is not None and sample_rate == 1 and len(some.select("file_idx").distinct().limit(2).collect()) > 1:
+        order = ["rec_idx", "file_idx"]
+    sized = some.select("file_idx", "rec_idx", F.coalesce(F.length("sequence"), F.lit(0)).cast("bigint").alias("bases"))
+    kept = numbered(sized, order, "bases", total="total_bases")
+    if max_reads is not None:
+        kept = kept.where(F.col("position") <= max_reads)
+    if max_bases is not None:
+        kept = kept.where(F.col("total_bases") <= max_bases)
+    return some.join(kept.select("file_idx", "rec_idx"), ["file_idx", "rec_idx"], "left_semi")
+
+
+def _overflow(config: DiscoverConfig):
+    def overflow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = replace(config, max_pairs_per_kmer=1 << 30)
+        for b in batches:
+            codes, at = kernels.encode(b.column(0))
+            for lo, hi in kernels.chunks(at, CHUNK):
+                size = repeated_seeds(codes[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], every).size
+                yield pa.RecordBatch.from_arrays([pa.array([int((size > config.max_pairs_per_kmer + 1).sum())], pa.int64())], ["n"])
+
+    return overflow
+
+
+def scan_counters(reads: DataFrame, config: DiscoverConfig = DiscoverConfig()) -> DataFrame:
+    """One row: reads and bases seen, reads a scan skips and why, and seeds with more places in a read than the scan takes."""
+    n = F.coalesce(F.length("sequence"), F.lit(0))
+    least = max(config.min_read_length, config.min_repeat_span)
+    rows = reads.agg(
+        F.count(F.lit(1)).alias("n_reads"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n_bases"), F.count_if(F.col("sequence").isNull()).alias("missing_sequence"),
+        F.count_if(n < least).alias("short_for_span"), F.count_if((n >= least) & (n < config.kmer_size)).alias("short_for_kmer"),
+    )
+    seeds = reads.select("sequence").mapInArrow(_overflow(config), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("overflowed_seeds"))
+    return rows.join(seeds)  # a row each
+
+
 def sample_reads(reads: DataFrame, rate: float) -> DataFrame:
     """About a share of the reads, chosen by the digest of their identifiers: the same reads at any partitioning."""
     return reads.where(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") < int(rate * (1 << 32)))

@@ -20,6 +20,9 @@ BEGIN, PLAIN, QUOTED, CLOSED = 0, 1, 2, 3  # where the parse stands: at a field'
 #: A quote edit costs more than any number of delimiter edits, so a record needs one only if its quoting is broken.
 Q, D = 1 << 32, 1
 
+#: Events of which the choices are kept at once when edits are traced.
+TRACED = 4096
+
 #: By event: (from, to, fields begun, cost, edit). A delimiter that is inserted to mend quoting is a quote edit.
 MOVES = {
     OTHER: [
@@ -62,46 +65,57 @@ def parse_costs(kind: np.ndarray, first: np.ndarray, fields: int, trace: bool =
     """
     n, lengths = len(first) - 1, np.diff(first)
     order = np.argsort(lengths, kind="stable")
+    steps = int(lengths.max(initial=0))
+
+    def advance(cost: np.ndarray, lo: int, hi: int, back: list[np.ndarray] | None = None) -> None:
+        for step in range(lo, hi):
+            rows = order[np.searchsorted(lengths[order], step, side="right") :]
+            now = kind[first[rows] + step]
+            chosen = np.full((n if back is not None else 0, 4, fields), -1, np.int8)
+            for event, moves in MOVES.items():
+                some = rows[now == event]
+                if not len(some):
+                    continue
+                old, new = cost[some], np.full((len(some), 4, fields), 1 << 60, np.int64)
+                pick = np.full(new.shape, -1, np.int8)
+                for i, (a, b, begun, price, _) in enumerate(moves):
+                    offer = old[:, a, : fields - begun] + price
+                    target, mark = new[:, b, begun:], pick[:, b, begun:]
+                    mark[offer < target] = i
+                    np.minimum(target, offer, out=target)
+                cost[some] = new
+                if back is not None:
+                    chosen[some] = pick
+            if back is not None:
+                back.append(chosen)
+
     cost = np.full((n, 4, fields), 1 << 60, np.int64)
     cost[:, BEGIN, 0] = 0
-    back: list[tuple[int, np.ndarray]] = []
-    for step in range(int(lengths.max(initial=0))):
-        rows = order[np.searchsorted(lengths[order], step, side="right") :]
-        now = kind[first[rows] + step]
-        chosen = np.full((n if trace else 0, 4, fields), -1, np.int8)
-        for event, moves in MOVES.items():
-            some = rows[now == event]
-            if not len(some):
-                continue
-            old, new = cost[some], np.full((len(some), 4, fields), 1 << 60, np.int64)
-            pick = np.full(new.shape, -1, np.int8)
-            for i, (a, b, begun, price, _) in enumerate(moves):
-                offer = old[:, a, : fields - begun] + price
-                target, mark = new[:, b, begun:], pick[:, b, begun:]
-                better = offer < target
-                mark[better] = i
-                np.minimum(target, offer, out=target)
-            cost[some] = new
-            if trace:
-                chosen[some] = pick
+    marks = []
+    for lo in range(0, steps, TRACED):
         if trace:
-            back.append((step, chosen))
+            marks.append(cost.copy())
+        advance(cost, lo, min(lo + TRACED, steps))
     final = cost + (fields - 1 - np.arange(fields)) * D
     final[:, QUOTED] += Q
     flat = final.reshape(n, -1)
+    least = flat.min(axis=1)
     if not trace:
-        return flat.min(axis=1)
-    edits: list[list[tuple[int, str]]] = []
-    for row in range(n):
-        state, have = divmod(int(flat[row].argmin()), fields)
-        own = [(-1, "insert quote")] * (state == QUOTED) + [(-1, "insert delimiter")] * (fields - 1 - have)
-        for step in range(lengths[row] - 1, -1, -1):
-            a, _, begun, _, edit = MOVES[kind[first[row] + step]][back[step][1][row, state, have]]
-            state, have = a, have - begun
-            if edit:
-                own.append((step, edit))
-        edits.append(own[::-1])
-    return flat.min(axis=1), edits
+        return least
+    at = [divmod(int(x), fields) for x in flat.argmin(axis=1)]
+    edits = [[(-1, "insert quote")] * (state == QUOTED) + [(-1, "insert delimiter")] * (fields - 1 - have) for state, have in at]
+    for lo in reversed(range(0, steps, TRACED)):  # the choices of one stretch are made again from its mark
+        back: list[np.ndarray] = []
+        advance(marks.pop(), lo, min(lo + TRACED, steps), back)
+        for row in np.flatnonzero(lengths > lo):
+            state, have = at[row]
+            for step in range(min(lo + TRACED, int(lengths[row])) - 1, lo - 1, -1):
+                a, _, begun, _, edit = MOVES[kind[first[row] + step]][back[step - lo][row, state, have]]
+                state, have = a, have - begun
+                if edit:
+                    edits[row].append((step, edit))
+            at[row] = state, have
+    return least, [e[::-1] for e in edits]
 
 
 def _without_end(raw: str, form: dict) -> str:

@@ -91,6 +91,15 @@ def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
     return reads.sample_reads(table(spark, sf, "reads"), SAMPLE_RATE).select("file_idx", "rec_idx", "id")
 
 
+def scan_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.scan_counters(_reads(spark, sf), DISCOVER)
+
+
+def limited_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """The first reads of all files in turn, up to 20,000 bases and 300 reads."""
+    return reads.limited(table(spark, sf, "reads"), 300, 20_000).select("file_idx", "rec_idx", "id")
+
+
 def reverse_complements(spark: SparkSession, sf: str) -> DataFrame:
     return _reads(spark, sf).select("file_idx", "rec_idx", dna.reverse_complement("sequence").alias("reverse_complement"), dna.orient("sequence").alias("oriented"))
 
@@ -197,7 +206,7 @@ def fish_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def probes_on_target(spark: SparkSession, sf: str) -> DataFrame:
     regions = probe.parse_regions(table(spark, sf, "probes")).where("family_id is not null").distinct()
-    return intervals.overlap_semi_join(regions, table(spark, sf, "array_hits"), ["chrom", "family_id"], "start_bp", "end_bp")
+    return intervals.overlap_semi_join(regions, table(spark, sf, "array_hits"), ("chrom", "family_id"), "start_bp", "end_bp")
 
 
 def best_probe_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,6 +268,27 @@ def run_differences(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.run_differences(table(spark, sf, "families").groupBy(F.col("run_id")).agg(F.max("low_complexity_flag").alias("any_low"), F.max("warning").alias("top_warning"), F.count(F.lit(1)).alias("records")), "run_id", ["any_low", "top_warning", "records"])
 
 
+def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run with the next one: settings of both, and counts of their families as results."""
+    runs = table(spark, sf, "runs").select(F.col("run_id").alias("run"), "backend", "kmer_size")
+    found = table(spark, sf, "families").groupBy(F.col("run_id").alias("run")).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("monomer_length_bp").alias("lengths"))
+    row = lambda category, item, blocking: F.struct(F.lit(category).alias("category"), F.lit(item).alias("item"), F.col(item).cast("string").alias("value"), F.lit(blocking).alias("blocking"))
+    settings = runs.select("run", F.inline(F.array(row("setting", "backend", True), row("setting", "kmer_size", True))))
+    settings = settings.union(found.select("run", F.inline(F.array(row("result", "records", False), row("result", "lengths", False)))))
+    pairs = runs.select(F.col("run").alias("run_a"), (F.col("run") + 1).alias("run_b"))
+    return catalog.compare_runs(settings, pairs.join(runs.select(F.col("run").alias("run_b")), "run_b", "left_semi"))
+
+
+def period_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Spacing peaks as predictions of the periods of discovered candidates."""
+    r = table(spark, sf, "reads", spread=True)
+    key = F.concat("file_idx", F.lit(":"), "rec_idx").alias("read_id")
+    found = discover.candidate_reads(r, DISCOVER).select(key, F.col("period_bp").alias("period"))
+    truth = r.select(key).join(found, "read_id", "left")
+    made = reads.spacing_peaks(reads.clean(r), DISCOVER).select(key, F.col("period_bp").alias("period"))
+    return _rounded(catalog.period_accuracy(made, truth), "recall", "precision", "false_positive_rate", "period_error_bp")
+
+
 def run_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(catalog.run_aggregate(table(spark, sf, "families"), table(spark, sf, "runs")), "mean_identity")
 
@@ -282,10 +312,10 @@ def annotate_repeats(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p6_found, p6_arrays, p6_reads, sequence_stats, length_summary, read_problems, duplicate_ids, round_robin, within_budget, hash_sample,
+        p2_found, p6_found, p6_arrays, p6_reads, sequence_stats, length_summary, read_problems, duplicate_ids, round_robin, within_budget, hash_sample, scan_counters, limited_reads,
         reverse_complements, base_composition, header_fields, sequence_files, kmer_counts, kmer_spectrum, spacing_peaks, short_periods, discover_candidates, discover_families,
         discover_similarity, copy_number, locate_arrays, merged_hits, window_density, assembly_vs_reads, probe_ranking, fish_signals, probes_on_target,
         best_probe_scores, pair_classes, redundancy_warnings, collapse_families, catalog_summary, label_counts, warning_counts, length_histogram, top_families,
-        label_pairs, flag_accuracy, nearest_lengths, run_differences, run_aggregate, failed_checks, known_matches, annotate_repeats,
+        label_pairs, flag_accuracy, nearest_lengths, run_differences, run_comparison, period_accuracy, run_aggregate, failed_checks, known_matches, annotate_repeats,
     )
 }

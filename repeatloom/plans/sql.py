@@ -115,6 +115,20 @@ q4 as (select a, b, turn, x, y, len(list_intersect(kx, ky)) as shared, len(kx) a
 q5 as (select *, case when shared > 0 then 2.0::double * shared / (nx + ny) else 0 end as dice, case when shared > 0 then shared::double / nx else 0 end as in_x, case when shared > 0 then shared::double / ny else 0 end as in_y,
         case when shared > 0 then shared::double / least(nx, ny) else 0 end as share, case when shared > 0 then shared::double / (nx + ny - shared) else 0 end as jaccard from q4)"""
 
+def _labels(most: int = 12, per_family: int = 3) -> str:
+    """Pairs chosen one by one in order of score, no family in more than some of them, where they are more than all labels."""
+    text = """p as (select distinct {'score': shared_kmer_fraction * local_identity * local_overlap_fraction_shorter * case when least(length_a_bp, length_b_bp) < 20 then 0.35::double else 1.0::double end,
+        'share': shared_kmer_fraction, 'shorter': least(length_a_bp, length_b_bp), 'a': family_a, 'b': family_b} as r from family_similarity where relationship <> 'distinct' and family_a is not null and family_b is not null
+        and shared_kmer_fraction is not null and local_identity is not null and local_overlap_fraction_shorter is not null),
+c0 as (select 0::bigint as place, r from p where false)"""
+    for i in range(1, most + 1):
+        used = f"(select count(*) from c{i - 1} c where {{0}} in (c.r.a, c.r.b)) < (case when (select count(*) from p) <= {most} then {most} else {per_family} end)"
+        text += f""",
+c{i} as (select * from c{i - 1} union all (select {i}, max(r) from p where (not exists (select 1 from c{i - 1}) or r < (select min(r) from c{i - 1}))
+        and {used.format("p.r.a")} and {used.format("p.r.b")} having max(r) is not null))"""
+    return f"with {text}\nselect place::int as place, r.a as family_a, r.b as family_b, round(r.score, 6) as score from c{most}"
+
+
 SQL = {
     "p2_found": """
 with v as (select distinct chrom, family_id, start_bp as s, end_bp as e from array_hits
@@ -152,6 +166,12 @@ with q as (select file_idx, rec_idx, coalesce(length(sequence), 0) as bases, row
         sum(coalesce(length(sequence), 0)) over (order by file_idx, rec_idx)::bigint as total_bases from reads)
 select * from q where total_bases <= (select round_even(sum(length(sequence)) * 0.4::double, 0) from reads)""",
     "hash_sample": f"select file_idx, rec_idx, id from reads where substr(md5(id), 1, 8) < '40000000'",
+    "scan_counters": f"""
+with {_READS}, {_SEEDS}, n as (select coalesce(length(s), 0) as n, s from r), e as (select count(*) as e from (select 1 from o group by file_idx, rec_idx, k having count(*) > 101))
+select count(*) as n_reads, sum(n)::bigint as n_bases, count_if(s is null) as missing_sequence, count_if(n < 40) as short_for_span, 0::bigint as short_for_kmer, (select e from e) as overflowed_seeds from n""",
+    "limited_reads": """
+with q as (select file_idx, rec_idx, id, row_number() over (order by rec_idx, file_idx) as i, sum(coalesce(length(sequence), 0)) over (order by rec_idx, file_idx) as t from reads)
+select file_idx, rec_idx, id from q where i <= 300 and t <= 20000""",
     "reverse_complements": f"""with {_READS}, q as (select *, {_RC.format("s")} as c from r)
 select file_idx, rec_idx, c as reverse_complement, case when s is not null then least(s, c) end as oriented from q""",
     "base_composition": f"""
@@ -283,9 +303,15 @@ r(x, y) as (select distinct a, a from d union select d.b, r.y from r join d on d
 g as (select x, min(y) as y from r group by x),
 c as (select l.fam, coalesce(g.y, l.fam) as comp, l.support_read_count, l.support_span_bp, l.mean_identity, l.monomer_length_bp from l left join g on g.x = l.fam),
 b as (select *, first_value(fam) over w as kept, count(*) over (partition by comp) as n from c window w as (partition by comp
-    order by support_read_count desc nulls last, support_span_bp desc nulls last, mean_identity desc nulls last, monomer_length_bp nulls last, fam desc))
+    order by support_read_count desc nulls last, support_span_bp desc nulls last, mean_identity desc nulls last, monomer_length_bp nulls last, fam desc)),
+z as (select least(family_a, family_b) as x, greatest(family_a, family_b) as y, max({{'a': kmer_jaccard, 'b': shared_kmer_fraction, 'c': local_identity, 'd': local_overlap_bp, 'e': length_ratio}}) as f
+        from family_similarity where relationship = 'likely_redundant' and family_a <> family_b group by all),
+z1 as (select x, y, concat_ws(';', 'kmer_jaccard=' || printf('%.4f', f.a), 'shared_kmer_fraction=' || printf('%.4f', f.b), 'local_identity=' || printf('%.4f', f.c), 'local_overlap_bp=' || f.d, 'length_ratio=' || printf('%.4f', f.e)) as m from z)
 select fam as original_family_id, kept as retained_family_id, case when fam = kept then 'retained' else 'collapsed' end as action,
-    case when fam <> kept then 'likely_redundant_to_retained_family' when n > 1 then 'selected_representative' else 'no_likely_redundant_match' end as reason from b""",
+    case when fam <> kept then 'likely_redundant_to_retained_family' when n > 1 then 'selected_representative' else 'no_likely_redundant_match' end as reason,
+    case when fam = kept then '' else 'likely_redundant' end as relationship, case when fam = kept then '' else coalesce(m, '') end as similarity_metrics,
+    case when fam = kept then 'only redundant families collapse' when m is null then 'linked through others' else '' end as notes
+from b left join z1 on z1.x = least(fam, kept) and z1.y = greatest(fam, kept)""",
     "catalog_summary": """
 with t as (select record_id, support_span_bp from families where support_span_bp is not null order by support_span_bp desc, record_id desc limit 1)
 select count(*) as family_count, count_if(low_complexity_flag) as low_complexity_count, count_if(warning <> '') as warning_count, median(monomer_length_bp)::double as median_length_bp,
@@ -319,6 +345,23 @@ select n as true_length, m as nearest_length, abs(m - n) as length_error_bp from
 with a as (select run_id as run, max(low_complexity_flag)::varchar as any_low, max(warning) as top_warning, count(*)::varchar as records from families group by run_id),
 u as (select run, 'any_low' as item, any_low as v from a union all select run, 'top_warning', top_warning from a union all select run, 'records', records from a)
 select x.run as run_a, y.run as run_b, item, x.v as value_a, y.v as value_b, x.v is not distinct from y.v as same from u x join u y using (item) where y.run = x.run + 1""",
+    "run_comparison": """
+with f as (select run_id as run, count(*) as records, count(distinct monomer_length_bp) as lengths from families group by 1),
+s as (select run_id as run, 'setting' as category, 'backend' as item, backend as v, true as blocking from runs union all select run_id, 'setting', 'kmer_size', kmer_size::varchar, true from runs
+    union all select run, 'result', 'records', records::varchar, false from f union all select run, 'result', 'lengths', lengths::varchar, false from f),
+p as (select x.run_id as run_a, y.run_id as run_b from runs x join runs y on y.run_id = x.run_id + 1),
+a as (select run_a, run_b, s.* from p join s on s.run = run_a), b as (select run_a, run_b, s.* from p join s on s.run = run_b),
+r as (select run_a, run_b, category, item, coalesce(a.v, '') as value_a, coalesce(b.v, '') as value_b, a.v is not distinct from b.v as same,
+        case when coalesce(a.blocking, b.blocking) then 'blocking_if_different' else 'result_difference' end as impact, '' as notes from a full join b using (run_a, run_b, category, item)),
+t as (select run_a, run_b, coalesce(string_agg(item || ': ' || value_a || ' vs ' || value_b, '; ' order by item) filter (where impact = 'blocking_if_different' and not same), '') as why from r group by all)
+select * from r union all select run_a, run_b, 'interpretation', 'directly_comparable', (why = '')::varchar, (why = '')::varchar, true, 'summary', why from t""",
+    "period_accuracy": f"""
+with {_SCAN}, u0 as (select r.file_idx, r.rec_idx, p as true_period from r left join found using (file_idx, rec_idx)),
+u1 as (select u0.file_idx, u0.rec_idx, true_period, count(period_bp) as made, min(abs(period_bp - true_period)) as error from u0 left join (select * from x where peak <= 5) x using (file_idx, rec_idx) group by all),
+u2 as (select count(true_period) as positive_reads, count_if(made > 0) as predicted_reads, count_if(coalesce(error <= greatest(2, round_even(true_period * 0.02::double, 0)), false)) as correct_reads,
+        count_if(made > 0 and true_period is null) as false_positive_reads, count_if(true_period is null) as background, avg(error) as e from u1)
+select positive_reads, predicted_reads, correct_reads, false_positive_reads, round(correct_reads::double / positive_reads, 6) as recall, round(correct_reads::double / predicted_reads, 6) as precision,
+    round(false_positive_reads::double / background, 6) as false_positive_rate, round(e, 6) as period_error_bp from u2""",
     "run_aggregate": """select backend, kmer_size, count(*) as n, median(monomer_length_bp)::double as median_length_bp,
     round(avg(case when mean_identity >= 0 and mean_identity <= 1 and not isnan(mean_identity) then mean_identity end), 6) as mean_identity,
     count_if(confidence = 'high') as high_confidence from families join runs using (run_id) group by all""",
@@ -347,4 +390,5 @@ a3 as (select *, case when dice = 0 and identity < 0.5 then 'no_known_match' whe
 select a as family_id, length(x) as monomer_length, case when dice > 0 or annotation_status <> 'no_known_match' then b end as best_known_id, length(y) as best_known_length,
     case turn when 0 then 'forward' else 'reverse' end as best_orientation, round(share, 6) as shared_kmer_fraction, round(jaccard, 6) as jaccard, round(dice, 6) as dice,
     round(in_x, 6) as containment_discovered_in_known, round(in_y, 6) as containment_known_in_discovered, round(identity, 6) as local_identity, overlap as local_overlap_bp, annotation_status, b as nearest_known_id from a3""",
+    "label_pairs": _labels(),
 }

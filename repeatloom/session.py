@@ -115,9 +115,9 @@ class Scratch:
             fs.delete(path, True)
 
     @classmethod
-    def release(cls) -> None:
-        """Deletes the tables of all operators so far, once their results are written."""
-        while cls.made:
+    def release(cls, since: int = 0) -> None:
+        """Deletes the tables of all operators so far, or of those after the first `since`, once their results are written."""
+        while len(cls.made) > since:
             path, fs = cls.made.pop()
             try:
                 fs.delete(path, True)

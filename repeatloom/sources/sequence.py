@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from repeatloom.functions import dna
 from repeatloom.session import Scratch
 
 # File name endings of each format, and the letters of a sequence.
@@ -257,9 +258,18 @@ def read_sequences(spark: SparkSession, *paths: str, unique_ids: bool = True) ->
     return out.select("file_idx", (F.col("before") + F.col("i")).alias("rec_idx"), "id", "sequence", "quality", "description")
 
 
-def catalog_records(df: DataFrame) -> DataFrame:
-    """Monomers (family_id, sequence) of a catalog's FASTA records: `family_id=` of the header, else its first word."""
-    from repeatloom.functions import dna
+def catalog_records(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
+    """Monomers (family_id, sequence) of a catalog's FASTA records: `family_id=` of the header, else its first word.
 
+    Unknown bases are cut out, or kept as annotation needs them.
+    """
     named = F.coalesce(dna.header_field("description", "family_id"), F.split("description", r"\s+")[0])
-    return df.select(named.alias("family_id"), F.replace("sequence", F.lit("N"), F.lit("")).alias("sequence"))
+    sequence = F.col("sequence") if keep_unknown else F.replace("sequence", F.lit("N"), F.lit(""))
+    return df.select(named.alias("family_id"), sequence.alias("sequence"))
+
+
+def monomer_lengths(families: DataFrame, monomers: DataFrame) -> DataFrame:
+    """Lengths of families (family_id, monomer_length_bp), of their FASTA records (family_id, sequence) where missing."""
+    length = F.coalesce(F.col("monomer_length_bp").cast("bigint"), F.col("found"))
+    found = monomers.groupBy("family_id").agg(F.max(F.length("sequence")).cast("bigint").alias("found"))
+    return families.select("family_id", "monomer_length_bp").join(found, "family_id", "left").select("family_id", length.alias("monomer_length_bp"))

@@ -107,3 +107,18 @@ def test_no_records_and_no_bad_ones(spark):
     empty = spark.createDataFrame([], "raw_id long, fmt string, raw string")
     assert parse_records(empty).count() == 0
     assert bad_records(parse_records(spark.createDataFrame([(1, "bed", GOOD)], "raw_id long, fmt string, raw string"))).count() == 0
+
+
+def test_traces_of_long_records_in_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from repeatloom.operators import records
+
+    raws = ['a\t"b' + "\t" * 40, 'x"y\t' * 30, "\t".join("abcdefgh"), '"' * 51]
+    kind, _, first = records._events(pa.array(raws, pa.large_string()), "\t", True)
+    want = records.parse_costs(kind, first, 8, trace=True)
+    monkeypatch.setattr(records, "TRACED", 7)
+    got = records.parse_costs(kind, first, 8, trace=True)
+    assert (got[0] == want[0]).all() and got[1] == want[1] and (records.parse_costs(kind, first, 8) == want[0]).all()
+    assert np.count_nonzero(got[0]) == 3

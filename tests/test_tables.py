@@ -79,9 +79,10 @@ def test_nearest_lengths_and_differences(spark, rows):
 
 def test_labels_spare_full_families(spark):
     schema = "family_a string, family_b string, relationship string, shared_kmer_fraction double, local_identity double, local_overlap_fraction_shorter double, length_a_bp long, length_b_bp long"
-    data = [("hub", f"x{i}", "likely_redundant", 0.9 - i / 100, 1.0, 1.0, 50, 60) for i in range(9)] + [("p", "q", "likely_redundant", 0.1, 0.5, 1.0, 50, 60), ("s", "t", "distinct", 1.0, 1.0, 1.0, 50, 60), ("u", "v", "likely_redundant", 1.0, 1.0, 1.0, 10, 60)]
+    data = [("hub", f"x{i}", "likely_redundant", 0.9 - i / 100, 1.0, 1.0, 50, 60) for i in range(12)] + [("p", "q", "likely_redundant", 0.1, 0.5, 1.0, 50, 60), ("s", "t", "distinct", 1.0, 1.0, 1.0, 50, 60), ("u", "v", "likely_redundant", 1.0, 1.0, 1.0, 10, 60)]
     got = [(r["family_a"], r["family_b"]) for r in catalog.label_pairs(spark.createDataFrame(data, schema)).orderBy("place").collect()]
     assert got == [("hub", "x0"), ("hub", "x1"), ("hub", "x2"), ("u", "v"), ("p", "q")]
+    assert catalog.label_pairs(spark.createDataFrame(data[:9], schema)).count() == 9  # all fit
 
 
 def test_family_names(spark):
@@ -173,20 +174,74 @@ def test_a_stream_gives_the_rows_of_a_batch(spark, tmp_path, rows):
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(candidate_reads(df))
 
 
+def test_limits_of_reads(spark):
+    df = read_table_rows(spark)
+    place = lambda d: sorted((r["file_idx"], r["rec_idx"]) for r in d.collect())
+    assert place(reads.limited(df, max_reads=3)) == [(0, 0), (0, 1), (1, 0)]
+    assert place(reads.limited(df, max_bases=8)) == [(0, 0), (1, 0)]  # of both files in turn
+    assert place(reads.limited(df.where("file_idx = 0"), max_bases=8)) == [(0, 0), (0, 1)]
+    with pytest.raises(ValueError):
+        reads.limited(df, max_reads=0)
+    got = reads.scan_counters(df).head()
+    assert (got["n_reads"], got["n_bases"], got["missing_sequence"], got["short_for_span"], got["overflowed_seeds"]) == (5, 16, 1, 5, 0)
+
+
+def test_accuracy_of_periods(spark):
+    truth = spark.createDataFrame([("a", 100), ("b", 200), ("c", None), ("d", 30), ("e", None)], "read_id string, period long")
+    made = spark.createDataFrame([("a", 102), ("a", 150), ("b", 210), ("c", 5), ("x", 7)], "read_id string, period long")
+    r = catalog.period_accuracy(made, truth).head()
+    assert (r["positive_reads"], r["predicted_reads"], r["correct_reads"], r["false_positive_reads"]) == (3, 4, 1, 1)
+    assert (r["recall"], r["precision"], r["false_positive_rate"], r["period_error_bp"]) == (1 / 3, 0.25, 0.5, 6.0)
+
+
+def test_runs_are_comparable_or_not_with_the_reason(spark):
+    rows = [(1, "s", "k", "11", True), (2, "s", "k", "13", True), (1, "s", "x", None, True), (2, "s", "x", None, True), (1, "r", "n", "5", False), (3, "s", "k", "11", True), (3, "s", "x", None, True)]
+    settings = spark.createDataFrame(rows, "run int, category string, item string, value string, blocking boolean")
+    got = {(r["run_a"], r["run_b"], r["item"]): r for r in catalog.compare_runs(settings, spark.createDataFrame([(1, 2), (1, 3)], "run_a int, run_b int")).collect()}
+    assert got[1, 2, "directly_comparable"]["value_a"] == "false" and got[1, 2, "directly_comparable"]["notes"] == "k: 11 vs 13"
+    assert got[1, 3, "directly_comparable"]["value_a"] == "true" and got[1, 2, "x"]["same"] and not got[1, 2, "n"]["same"] and got[1, 2, "n"]["value_b"] == ""
+
+
 def test_the_whole_run(spark, tmp_path):
     df, contigs = made_reads(spark)
-    config = PipelineConfig(out=f"{tmp_path}/out", genome_size=5000.0, resume=True)
-    first = run_pipeline(spark, df, config, contigs).collect()
-    assert [r["status"] for r in first] == ["completed"] * 5
+    known = spark.createDataFrame([("k1", df.head()["sequence"][80:200])], "known_id string, known_sequence string")
+    config = PipelineConfig(out=f"{tmp_path}/out", genome_size=5000.0, resume=True, collapse=True)
+    first = run_pipeline(spark, df, config, contigs, known=known).collect()
+    assert [r["status"] for r in first] == ["completed"] * 6
     arrays = spark.read.parquet(f"{tmp_path}/out/arrays").collect()
     assert len(arrays) == 1 and abs(arrays[0]["end_bp"] - arrays[0]["start_bp"] - 600) < 30
     assert spark.read.parquet(f"{tmp_path}/out/copy_number").head()["estimated_copy_number"] > 5
     assert spark.read.parquet(f"{tmp_path}/out/signals").count() > 0
+    assert spark.read.parquet(f"{tmp_path}/out/annotation").head()["annotation_status"] == "strong_known_match"
     failed = validate_project(spark, f"{tmp_path}/out").where("n_failed > 0").collect()
     assert failed == []
+    checked = {r[0] for r in validate_project(spark, f"{tmp_path}/out").select("file").distinct().collect()}
+    assert checked >= {"candidate_reads.tsv", "families.tsv", "family_similarity.tsv", "family_collapse.tsv", "collapsed_families.tsv", "collapsed_monomers.fa", "monomers.fa", "probes.fa", "probes.rank.tsv", "repeat_annotation.tsv", "known_repeat_matches.tsv", "arrays.bed", "copy_number.tsv"}
     again = run_pipeline(spark, df, config, None).collect()
-    assert [r["status"] for r in again] == ["resumed", "resumed", "skipped_no_assembly", "skipped_no_assembly", "skipped_no_assembly"]
+    assert [r["status"] for r in again] == ["resumed", "resumed", *["skipped_no_assembly"] * 3, "skipped_no_known"]
+    with pytest.raises(ValueError, match="exists"):
+        run_pipeline(spark, df, PipelineConfig(out=f"{tmp_path}/out", genome_size=5000.0), None)
     assert parse_steps("probe, discover") == ["discover", "probe"]
     for wrong in ("fly", "probe,probe"):
         with pytest.raises(ValueError):
             parse_steps(wrong)
+
+
+def test_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    from repeatloom import cli
+
+    monkeypatch.setattr(cli, "get_session", lambda *a: spark)
+    df, contigs = made_reads(spark)
+    (tmp_path / "r.fa").write_text("".join(f">{r['id']}\n{r['sequence']}\n" for r in df.collect()))
+    (tmp_path / "c.fa").write_text(f">c1\n{contigs.head()['sequence']}\n")
+    out = str(tmp_path / "p")
+    options = ["--out", out, "--max-reads", "15", "--min-support-reads", "3", "--haploid-depth", "2"]
+    assert cli.main(["run", str(tmp_path / "r.fa"), "--steps", "discover,quantify", *options]) == 0
+    assert cli.main(["discover", str(tmp_path / "r.fa"), *options, "--resume"]) == 0
+    assert cli.main(["locate", "--assembly", str(tmp_path / "c.fa"), "--out", out]) == 0
+    assert cli.main(["compare", "--assembly", str(tmp_path / "c.fa"), "--out", out, "--collapse-threshold", "0.5"]) == 0
+    assert cli.main(["validate", out]) == 0
+    assert cli.main(["compare-runs", out, out, "--out", str(tmp_path / "q")]) == 0
+    compared = read_table(spark, str(tmp_path / "q" / "compare_runs.tsv")).where("item = 'directly_comparable'").head()
+    assert compared["run_a_value"] == "true"
+    assert cli.main(["quantify", str(tmp_path / "r.fa"), "--out", out]) == 2  # exists
