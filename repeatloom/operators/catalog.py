@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatloom.operators.discover import relationship
-from repeatloom.operators.graph import components
+from repeatloom.operators.graph import components, hot_keys, looked_up
 from repeatloom.session import Scratch
 
 RELATED = "possible_higher_order_or_partial"
@@ -128,11 +128,11 @@ def collapse(families: DataFrame, similarity: DataFrame) -> DataFrame:
     links = similarity.where("relationship = 'likely_redundant'")
     groups = components(links, "family_a", "family_b")
     f = families.join(groups.withColumnRenamed("member", "family_id"), "family_id", "left")
-    f = f.withColumn("component", F.coalesce("component", "family_id"))
+    f = Scratch(families.sparkSession, "collapse").write(f.withColumn("component", F.coalesce("component", "family_id")), "families")
     best = Window.partitionBy("component").orderBy(F.desc_nulls_last("support_read_count"), F.desc_nulls_last("support_span_bp"), F.desc_nulls_last("mean_identity"), F.asc_nulls_last("monomer_length_bp"), F.desc("family_id"))
     kept = f.withColumn("place", F.row_number().over(best)).where("place = 1").select("component", F.col("family_id").alias("retained_family_id"))
     size = f.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    out = f.select("component", F.col("family_id").alias("original_family_id")).join(kept, "component").join(size, "component")
+    out = looked_up(f.select("component", F.col("family_id").alias("original_family_id")), "component", kept.join(size, "component"), hot_keys(f, "component", f.count()))
     digits = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.format_string("%.4f", c)))
     figures = [digits(c) if dict(links.dtypes).get(c) == "double" else F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in PAIR_FIGURES if c in links.columns]
     direct = links.where("family_a <> family_b").select(F.least("family_a", "family_b").alias("x"), F.greatest("family_a", "family_b").alias("y"), F.struct(*[c for c in PAIR_FIGURES if c in links.columns]).alias("f"))

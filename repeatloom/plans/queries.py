@@ -190,13 +190,23 @@ def assembly_vs_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def probe_ranking(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["estimated_copy_number", "specificity_score", "arrayiness_score", "gc_content"]
-    p = table(spark, sf, "probes").dropna(subset=["family_id", "probe_id", *columns])
+    p = table(spark, sf, "probes").fillna(0, ["estimated_copy_number"]).dropna(subset=["family_id", "probe_id", *columns])
     score = probe.probe_score(*(F.col(c) for c in columns))
     once = p.select("probe_id", "family_id", score.alias("score")).groupBy("probe_id", "family_id").agg(F.max("score").alias("score"))
     ranked = numbered(once.withColumn("down", -F.col("score")), ["down", "family_id", "probe_id"])
     return ranked.select("probe_id", "family_id", "score", "position")
 
 
+def catalog_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes tiled over every supported sequence, with what binds where among the reads, and their scores."""
+    contigs = _reads(spark, sf).select(F.concat("file_idx", F.lit(":"), "rec_idx").alias("chrom"), "sequence")
+    work, own = Scratch(spark, "probes"), _supported(spark, sf)
+    own = work.write(own, "catalog")
+    arrays = work.write(locate.locate_arrays(contigs, own, K), "arrays")
+    copies = quantify.copy_number(_reads(spark, sf), own, K, genome_size=GENOME_SIZE).withColumn("line", F.lit(0))
+    return probe.rank_probes(own, contigs, copies, arrays, 60, 80)[0].drop("predicted_regions")
+
+
 def fish_signals(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("probe_score")
     signal = F.max(F.when(~F.isnan(s) & (F.abs(s) != float("inf")), s)).alias("predicted_signal")
@@ -314,7 +324,7 @@ QUERIES = {
     for f in (
         p2_found, p6_found, p6_arrays, p6_reads, sequence_stats, length_summary, read_problems, duplicate_ids, round_robin, within_budget, hash_sample, scan_counters, limited_reads,
         reverse_complements, base_composition, header_fields, sequence_files, kmer_counts, kmer_spectrum, spacing_peaks, short_periods, discover_candidates, discover_families,
-        discover_similarity, copy_number, locate_arrays, merged_hits, window_density, assembly_vs_reads, probe_ranking, fish_signals, probes_on_target,
+        discover_similarity, copy_number, locate_arrays, merged_hits, window_density, assembly_vs_reads, probe_ranking, catalog_probes, fish_signals, probes_on_target,
         best_probe_scores, pair_classes, redundancy_warnings, collapse_families, catalog_summary, label_counts, warning_counts, length_histogram, top_families,
         label_pairs, flag_accuracy, nearest_lengths, run_differences, run_comparison, period_accuracy, run_aggregate, failed_checks, known_matches, annotate_repeats,
     )

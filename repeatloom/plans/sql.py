@@ -281,8 +281,8 @@ select family_id, r as read_estimated_bp, a as assembly_estimated_bp, case when
     case when r <= 0 then 'low' else 'medium' end as confidence,
     case when r <= 0 and a <= 0 then 'missing_read_and_assembly_estimates' when r <= 0 then 'missing_read_estimate' when a <= 0 then 'missing_assembly_array' else '' end as warning from b""",
     "probe_ranking": """
-with q as (select probe_id, family_id, least(1.0::double, estimated_copy_number / 10.0::double) * specificity_score * greatest(arrayiness_score, 0.1::double) * greatest(0.0::double, 1.0::double - abs(gc_content - 0.5::double)) as score
-        from probes where family_id is not null and probe_id is not null and estimated_copy_number is not null and specificity_score is not null and arrayiness_score is not null and gc_content is not null),
+with q as (select probe_id, family_id, least(1.0::double, coalesce(estimated_copy_number, 0) / 10.0::double) * specificity_score * greatest(arrayiness_score, 0.1::double) * greatest(0.0::double, 1.0::double - abs(gc_content - 0.5::double)) as score
+        from probes where family_id is not null and probe_id is not null and specificity_score is not null and arrayiness_score is not null and gc_content is not null),
 o as (select probe_id, family_id, max(score) as score from q group by all)
 select *, row_number() over (order by score desc, family_id, probe_id) as position from o""",
     "fish_signals": f"with {_REGIONS}, m as (select probe_id, max(case when isfinite(probe_score) then probe_score end) as predicted_signal from probes group by probe_id) select g.*, predicted_signal from g join m using (probe_id)",

@@ -61,12 +61,41 @@ def test_components_of_chains(spark, rows):
     assert components(spark.createDataFrame([], "x string, y string"), "x", "y").count() == 0
 
 
+def test_components_with_hubs(spark, rows, monkeypatch):
+    from repeatloom.operators import graph
+
+    monkeypatch.setattr(graph, "HOT_LEAST", 20)
+    monkeypatch.setattr(graph, "HOT_PART", 4)
+    edges = [("hub", f"l{i:03d}") for i in range(120)] + [(f"l{i:03d}", f"m{i:03d}") for i in range(0, 120, 7)]
+    got = rows(components(spark.createDataFrame(edges, "x string, y string"), "x", "y"))
+    assert got == sorted((v, "hub") for v in {v for e in edges for v in e})
+
+
+def test_scratch_is_shared_and_deleted(spark, tmp_path):
+    import os
+    from types import SimpleNamespace as Fake
+
+    from repeatloom.session import Scratch, shared_folder, width
+
+    before = len(Scratch.made)
+    work = Scratch(spark, "test")
+    kept = work.write(spark.range(5), "a")
+    assert kept.count() == 5 and work.size("a") > 0 and os.path.isdir(work.at)
+    Scratch.release(before)
+    assert not os.path.exists(work.at) and len(Scratch.made) == before
+    assert width(spark, 10 * 1000, 1000) == 10 and width(spark) >= 2
+    unset = Fake(getConf=lambda: Fake(get=lambda _: None), master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Fake(sparkContext=unset, conf=Fake(get=lambda *_: None)))
+
+
 def test_collapse_keeps_the_best_supported(spark, rows):
     families = spark.createDataFrame([("f1", 5, 10, 0.9, 100), ("f2", 9, 10, 0.9, 100), ("f3", 9, 10, 0.9, 90), ("f4", 1, 1, 0.1, 5)], "family_id string, support_read_count long, support_span_bp long, mean_identity double, monomer_length_bp long")
     pairs = spark.createDataFrame([("f1", "f2", "likely_redundant"), ("f2", "f3", "likely_redundant"), ("f1", "f4", "distinct")], "family_a string, family_b string, relationship string")
     got = rows(catalog.collapse(families, pairs))
     assert [(r[0], r[1], r[2]) for r in got] == [("f1", "f3", "collapsed"), ("f2", "f3", "collapsed"), ("f3", "f3", "retained"), ("f4", "f4", "retained")]
     assert [r[3] for r in got][2:] == ["selected_representative", "no_likely_redundant_match"]
+    assert [r[6] for r in got] == ["linked through others", "", "only redundant families collapse", "only redundant families collapse"]
 
 
 def test_nearest_lengths_and_differences(spark, rows):
