@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from repeatloom.operators.graph import hot_keys, looked_up
 from repeatloom.session import Scratch
 
-#: A key is hot if it has more than one HOT_PART-th of all rows (so there are fewer than HOT_PART of them) and at least HOT_LEAST.
-HOT_PART, HOT_LEAST = 1000, 20_000
 #: Rounds of growth that are planned as one job.
 ROUNDS_A_JOB = 6
 
@@ -19,23 +18,6 @@ def _start(vertex: Column, level: int, beta: float, rounds: int) -> Column:
     return F.greatest(F.lit(0.0), F.lit(float(rounds)) + F.log(F.lit(1.0) - uniform) / F.lit(beta))
 
 
-def _hot(keys: DataFrame, key: str, total: int) -> list:
-    """The hot keys among so many rows: fewer than HOT_PART, as each has more than its part of the total."""
-    least = max(HOT_LEAST, total // HOT_PART)
-    if total <= least:
-        return []
-    return [r[0] for r in keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(key).collect()]
-
-
-def _looked_up(df: DataFrame, key: str, states: DataFrame, hot: list, how: str = "inner") -> DataFrame:
-    """df with the columns of `states` (one row for each key): hot keys' rows stay where they are and are sent theirs."""
-    if not hot:
-        return df.join(states, key, how)
-    is_hot = F.col(key).isin(hot)
-    sent = F.broadcast(states.where(is_hot))  # fewer than HOT_PART rows
-    return df.where(~is_hot).join(states.where(~is_hot), key, how).unionByName(df.where(is_hot).join(sent, key, how))
-
-
 def _grown(work: Scratch, links: DataFrame, hot: list, level: int, beta: float, rounds: int) -> DataFrame:
     """Cluster of each vertex: (v, c). A vertex joins the cluster that reaches it first.
 
@@ -48,7 +30,7 @@ def _grown(work: Scratch, links: DataFrame, hot: list, level: int, beta: float,
     offer = F.struct((F.col("best.time") + F.col("hop")).alias("time"), F.col("best.centre").alias("centre"))
     for done in range(0, rounds, ROUNDS_A_JOB):
         for _ in range(min(ROUNDS_A_JOB, rounds - done)):
-            reached = _looked_up(links, "v", at.hint("merge"), hot)
+            reached = looked_up(links, "v", at.hint("merge"), hot)
             at = reached.groupBy(F.col("to").alias("v")).agg(F.min(offer).alias("best"), F.max(F.when(F.col("hop") == 0, F.col("best"))).alias("before"))
             at, last = at.select("v", "best"), at
         seen = Observation()
@@ -71,7 +53,7 @@ def linked_groups(pairs: DataFrame, a: str, b: str, beta: float = 0.1, rounds: i
     in order of their shifted start times (`_grown`), each cluster becomes one vertex, and the next level works
     on the edges between clusters, a constant part of the edges; the assignments are composed from the last level
     to the first. Levels are written to the shared folder. Rows of hot vertices, and of hot clusters when assignments
-    are composed, are not shuffled by them (`_looked_up`).
+    are composed, are not shuffled by them (`looked_up`).
     """
     spark, work = pairs.sparkSession, Scratch(pairs.sparkSession, "groups")
     pair = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
@@ -87,24 +69,24 @@ def linked_groups(pairs: DataFrame, a: str, b: str, beta: float = 0.1, rounds: i
             break
         if k == max_levels:
             raise RuntimeError(f"links between clusters are left after {k} levels")
-        hot = _hot(edges.select(F.explode(F.array("a", "b")).alias("v")), "v", 2 * m)
+        hot = hot_keys(edges.select(F.explode(F.array("a", "b")).alias("v")), "v", 2 * m)
         both = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))
         links = edges.select(F.inline(both)).withColumn("hop", F.lit(1.0))
         links = links.union(links.select("v", F.col("v"), F.lit(0.0)).distinct())
         own = _grown(work, links, hot, k, beta, rounds)
         levels.append(own)
         for end in ("a", "b"):
-            edges = _looked_up(edges, end, own.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}")), hot)
+            edges = looked_up(edges, end, own.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}")), hot)
         edges = edges.where("c_a <> c_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
     if not levels:
         return edges.select(F.col("a").alias("group_id"), F.col("b").alias("member"))
     root = levels.pop()
     while levels:
         below = levels.pop()
-        hot = _hot(below, "c", below.count())
+        hot = hot_keys(below, "c", below.count())
         above = root.select(F.col("v").alias("c"), F.col("c").alias("r"))
-        root = _looked_up(below, "c", above, hot, "left").select("v", F.coalesce("r", "c").alias("c"))
+        root = looked_up(below, "c", above, hot, "left").select("v", F.coalesce("r", "c").alias("c"))
     root = work.write(root, "root")
     least = root.groupBy("c").agg(F.min("v").alias("group_id"))
-    return _looked_up(root, "c", least, _hot(root, "c", root.count())).select("group_id", F.col("v").alias("member"))
+    return looked_up(root, "c", least, hot_keys(root, "c", root.count())).select("group_id", F.col("v").alias("member"))
 

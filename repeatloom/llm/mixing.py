@@ -79,11 +79,11 @@ def rake(size: np.ndarray, most: np.ndarray, margins: list[tuple[np.ndarray, np.
     return out
 
 
-def _calibrated(docs: DataFrame, cells: DataFrame) -> DataFrame:
+def _calibrated(docs: DataFrame, cells: DataFrame, fine: bool = True) -> DataFrame:
     """For each cell the place in the sampling order up to which its documents add up to its `wanted` size: (cell, upto).
 
     Sizes are summed over 2^BITS parts of the order, then once more over those of the part in which the wanted size is
-    reached; the documents of the last, smallest part, with which it would be exceeded, stay out.
+    reached (if `fine`); the documents of the last, smallest part, with which it would be exceeded, stay out.
     """
     n = 1 << BITS
     high, low = F.shiftright("place", BITS), F.col("place").bitwiseAND(n - 1)
@@ -95,6 +95,8 @@ def _calibrated(docs: DataFrame, cells: DataFrame) -> DataFrame:
         return run.groupBy("cell").agg(F.min(F.when(over, F.col("part"))).alias("part"), F.max(F.when(~over, F.col("sum"))).alias("below"))
 
     first = reached(docs.groupBy("cell", high.alias("part")).agg(F.sum("tokens").alias("size")))
+    if not fine:
+        return first.select("cell", F.when(F.col("part").isNull(), F.lit(n * n)).otherwise(F.shiftleft("part", BITS)).cast("bigint").alias("upto"))
     at = first.where("part is not null").select("cell", F.col("part").alias("at"), "below")
     within = docs.join(F.broadcast(at), "cell").where(high == F.col("at"))  # a row per cell
     sizes = within.groupBy("cell", low.alias("part")).agg((F.sum("tokens")).alias("size"), F.first("below").alias("below"))
@@ -123,7 +125,7 @@ def mix(sizes: DataFrame, doc: str, source: str, classes: dict[str, tuple[Column
     margins; a cell's weight is its size after raking over the size it holds, so each of its documents is expected to
     come out that often: its whole part always, its fraction if the document's place in a hash order is below the
     cell's threshold, which is calibrated so that sizes add up (`_calibrated`). What a source is short of then, as its
-    next document would exceed its size, is filled with its documents of no more than that, calibrated in the same way.
+    next document would exceed its size, is filled with its documents of no more than that, calibrated in one step.
     """
     spark, work = sizes.sparkSession, Scratch(sizes.sparkSession, "mix")
     names = list(classes)
@@ -151,10 +153,10 @@ def mix(sizes: DataFrame, doc: str, source: str, classes: dict[str, tuple[Column
     rows = [(c["cell"], float(w), int(w + 1e-9), float(max(0.0, w - int(w + 1e-9)) * c["held"])) for c, w in zip(cells, weight)]
     known = spark.createDataFrame(rows, "cell string, weight double, whole int, wanted double").coalesce(1)
 
-    def reached(some: DataFrame, wanted: DataFrame, of: str) -> DataFrame:  # a row per cell or target
-        return spark.createDataFrame(_calibrated(some, wanted).collect(), f"`{of}` string, upto bigint").coalesce(1)
+    def reached(some: DataFrame, wanted: DataFrame, of: str, fine: bool) -> DataFrame:  # a row per cell or target
+        return spark.createDataFrame(_calibrated(some, wanted, fine).collect(), f"`{of}` string, upto bigint").coalesce(1)
 
-    upto = reached(docs, known.select("cell", "wanted").where("wanted > 0"), "cell")
+    upto = reached(docs, known.select("cell", "wanted").where("wanted > 0"), "cell", True)
     state = docs.join(F.broadcast(known), "cell").join(F.broadcast(upto), "cell", "left")
     state = state.withColumn("copies", F.col("whole") + F.coalesce((F.col("place") < F.col("upto")).cast("int"), F.lit(0)))
     state = work.write(state.select(*docs.columns, "copies", "weight"), "state0")
@@ -166,7 +168,7 @@ def mix(sizes: DataFrame, doc: str, source: str, classes: dict[str, tuple[Column
             break
         short = spark.createDataFrame(short, "source string, wanted double, most int").coalesce(1)
         some = state.join(F.broadcast(short), "source").where(fits).select(F.col("source").alias("cell"), "tokens", place(i).alias("place"))
-        upto = reached(some, short.select(F.col("source").alias("cell"), "wanted"), "source")
+        upto = reached(some, short.select(F.col("source").alias("cell"), "wanted"), "source", False)
         more = state.join(F.broadcast(short.join(upto, "source", "left")), "source", "left")
         more = more.withColumn("copies", F.col("copies") + F.coalesce((fits & (place(i) < F.col("upto"))).cast("int"), F.lit(0)))
         state = work.write(more.select(*state.columns), f"state{i}")

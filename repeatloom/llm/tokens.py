@@ -9,7 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Where the public vocabulary files lie on every machine, and the one used by default.
+#: Where the public vocabulary files lie on every machine, if the session's `repeatloom.tokenizers` names no other folder,
+#: and the one used by default.
 VOCABULARIES, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 # Fixed value: how that tokenizer splits a text before it merges bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -34,8 +35,9 @@ def _counter(path: str):
     return count
 
 
-def count_tokens(df: DataFrame, keep: list[str], text: str, vocabulary: str = f"{VOCABULARIES}/{VOCABULARY}") -> DataFrame:
+def count_tokens(df: DataFrame, keep: list[str], text: str, vocabulary: str | None = None) -> DataFrame:
     """The columns `keep` and `tokens`, the number of tokens of the whole text (0 for a null or empty text). No shuffle."""
+    vocabulary = vocabulary or f"{df.sparkSession.conf.get('repeatloom.tokenizers', VOCABULARIES)}/{VOCABULARY}"
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens bigint"
     return df.select(*keep, text).mapInArrow(_counter(vocabulary), schema)
