@@ -122,7 +122,7 @@ def _labels(most: int = 12, per_family: int = 3) -> str:
         and shared_kmer_fraction is not null and local_identity is not null and local_overlap_fraction_shorter is not null),
 c0 as (select 0::bigint as place, r from p where false)"""
     for i in range(1, most + 1):
-        used = f"(select count(*) from c{i - 1} c where {{0}} in (c.r.a, c.r.b)) < (case when (select count(*) from p) <= {most} then {most} else {per_family} end)"
+        used = f"(select coalesce(sum(({{0}} = c.r.a)::int + ({{0}} = c.r.b)::int), 0) from c{i - 1} c) < (case when (select count(*) from p) <= {most} then {most} else {per_family} end)"
         text += f""",
 c{i} as (select * from c{i - 1} union all (select {i}, max(r) from p where (not exists (select 1 from c{i - 1}) or r < (select min(r) from c{i - 1}))
         and {used.format("p.r.a")} and {used.format("p.r.b")} having max(r) is not null))"""
